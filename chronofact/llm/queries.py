@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dedup, quality_rules, sharding
+from . import bpe, dedup, langid, quality_rules, sharding, token_counts
 
 SHARDS = 40
+TOKEN_LIMIT = 4096
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """The path of a public tokenizer file, which every executor has installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.external_shuffle(documents(spark, sf_dir), SHARDS)
     return out.select(
@@ -31,14 +39,36 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("left_chars", "clean_text")
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), outputs=())
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir), keep="largest").drop("n_bytes")
 
 
+def held_out(doc_id: Column) -> Column:
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    labelled = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    model = langid.trained(labelled.select(F.col("doc_id").alias("id"), "text", "lang"))
+    return langid.identified(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), TOKEN_LIMIT).drop("fit_chars")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_language_id": op8_language_id,
+    "op9_token_counts": op9_token_counts,
 }
 
 ORACLES = {

@@ -13,16 +13,24 @@ import ahocorasick
 
 
 class Bounded(dict):
-    """A dict that starts anew when it is full, for caches of unbounded streams."""
+    """A cache of two generations: when the young one is full, it becomes the old one.
+
+    What is asked for again moves from the old generation to the young one, so
+    frequent keys stay, and at most 2 * limit entries are held.
+    """
 
     def __init__(self, limit: int, make):
         super().__init__()
-        self.limit, self.make = limit, make
+        self.limit, self.make, self.old = limit, make, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -39,7 +47,6 @@ class Merges:
                 self.trie.add_word(t, k)
         self.trie.make_automaton()
         self._fits = Bounded(2_000_000, lambda pair: self._compatible(*pair))
-        self._shorter = Bounded(200_000, self._next_prefix)
 
     def _compatible(self, a: int, b: int) -> bool:
         limit, rank, parts = float("inf"), self.rank, self.parts
@@ -54,41 +61,35 @@ class Merges:
             else:  # of equal ranks the left one was merged first
                 limit, b = rank[b] + 1, parts[b][0]
 
-    def _longest(self, text: str, at: int) -> int | None:
-        """The longest token that begins at the place, or None."""
-        if at >= len(text):
-            return None
-        for end, k in self.trie.iter_long(text, at):
-            return k if end - self.lengths[k] + 1 == at else None
-        return None
-
-    def _next_prefix(self, k: int) -> int | None:
-        return self._longest(self.tokens[k][:-1], 0)
-
     def encode(self, text: str) -> list[int]:
         """Backtracking: the longest match first, shorter ones where it doesn't fit, a step back where none does."""
-        fits, shorter, lengths = self._fits, self._shorter, self.lengths
+        fits, lengths, size = self._fits, self.lengths, len(text)
+        matches: list[list[int]] = [[] for _ in range(size)]  # by begin, shortest first
+        for end, k in self.trie.iter(text):
+            matches[end + 1 - lengths[k]].append(k)
         out: list[int] = []
+        back: list[tuple[int, int]] = []  # where each token of out begins, and how many shorter ones are left there
         dead: set[int] = set()
-        at, size = 0, len(text)
-        token = self._longest(text, 0)
+        at, left = 0, len(matches[0]) if size else 0
         while at < size:
-            while token is not None:
+            here = matches[at]
+            while left:
+                left -= 1
+                token = here[left]
                 end = at + lengths[token]
                 if end not in dead and (not out or fits[out[-1], token]):
                     break
-                token = shorter[token]
-            if token is not None:
-                out.append(token)
-                at = end
-                token = self._longest(text, at)
+            else:
+                if not out:
+                    raise ValueError(f"no tokens make up {text!r}")
+                dead.add(at)
+                out.pop()
+                at, left = back.pop()
                 continue
-            if not out:
-                raise ValueError(f"no tokens make up {text!r}")
-            dead.add(at)
-            token = out.pop()
-            at -= lengths[token]
-            # its end is dead now, so the search goes on with shorter ones
+            out.append(token)
+            back.append((at, left))
+            at = end
+            left = len(matches[at]) if at < size else 0
         return out
 
     def prefix_counts(self, text: str) -> list[int]:

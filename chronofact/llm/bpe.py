@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,18 +36,6 @@ WHITE = "\t-\r \x85\xa0  -     　"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed values of the vocabulary's word pattern
 
 
-def char_class(kind: str) -> str:
-    """The inside of a character class: all code points whose general category begins with kind."""
-    spans: list[list[int]] = []
-    for c in range(0x110000):
-        if unicodedata.category(chr(c)).startswith(kind):
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
-
-
 def byte_alphabet() -> dict[int, str]:
     """A printable character for each byte: itself where it is one, else from 256 on."""
     shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
@@ -77,13 +66,11 @@ class WordBPE:
             shown[k] = t
         self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
         self._plain = re.compile(rf"{CONTRACTIONS}|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-        letters, numbers = char_class("L"), char_class("N")
-        self._unassigned = re.compile(f"[{char_class('Cn')}]")
         self._library = Tokenizer.from_file(path).normalizer
         self._split = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
-        self._words = re.compile(f"{CONTRACTIONS}|[{letters}]+|[{numbers}]|[^{WHITE}{letters}{numbers}]+")
+        self._words = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self._alphabet = byte_alphabet()
-        self._encoded = Bounded(300_000, self._encode_word)
+        self._encoded = Bounded(500_000, self._encode_word)
         pieces = [t.encode() + b" " for t in shown]
         self._blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self._offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
@@ -95,7 +82,8 @@ class WordBPE:
     def words(self, text: str) -> list[str]:
         if text.isascii():
             return self._plain.findall(text.lower())
-        if self._unassigned.search(text):  # only the library knows which characters its Unicode version has
+        if not "".join(text.split()).isprintable() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            # assigned in a later Unicode version than Python's, or never: the library has a version of its own
             return [w for w, _ in self._split.pre_tokenize_str(self._library.normalize_str(text))]
         # character by character in effect: only a capital sigma depends on what follows
         return self._words.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())

@@ -62,7 +62,7 @@ class PrefixCounter:
         singles = {t for t in self.merges.tokens if len(t) == 1}
         self._known = singles
         self._chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._counts = Bounded(300_000, lambda c: self.prefixes(c)[-1])
+        self._counts = Bounded(500_000, lambda c: self.prefixes(c)[-1])
 
     def chunks(self, text: str) -> list[str]:
         return self._chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []

@@ -66,10 +66,10 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
         if e - b >= n:
             yield np.unique(grams[b : e - n + 1])
         elif e > b:
-            whole = np.uint64(e - b)
+            whole = np.array([e - b], dtype=np.uint64)
             for w in words[b:e]:
-                whole = mix(np.array([whole * np.uint64(0x9FB21C651E98DF25) + w], dtype=np.uint64))[0]
-            yield np.array([whole], dtype=np.uint64)
+                whole = mix(whole * np.uint64(0x9FB21C651E98DF25) + w)
+            yield whole
         else:
             yield np.zeros(0, dtype=np.uint64)
 
@@ -89,7 +89,7 @@ def segment_keys(s: np.ndarray, fragments: int) -> np.ndarray:
         return mix(s ^ np.uint64(0xC0FFEE))
     at = ((s >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
     begin = np.flatnonzero(np.diff(at, prepend=np.uint64(1 << 40)))
-    return mix(np.add.reduceat(mix(s ^ np.uint64(0xFACADE)), begin) + at[begin] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(fragments) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(np.add.reduceat(mix(s ^ np.uint64(0xFACADE)), begin) + at[begin] * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([fragments], dtype=np.uint64)))
 
 
 def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, small: int) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, langid, quality_rules, sharding, token_counts
+from . import bpe, dedup, importance, jaccard_join, langid, mixing, quality_rules, sharding, token_counts
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
+MAX_REPEATS = 2.0
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,16 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir)).drop("left_chars", "clean_text")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100).drop("class_size")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = importance.fitted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return importance.scored(docs, model).drop("label")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), outputs=())
 
@@ -62,13 +73,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), TOKEN_LIMIT).drop("fit_chars")
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixed(documents(spark, sf_dir), max_repeats=MAX_REPEATS)
+    return out.select("doc_id", "source", "n_tokens", "epoch", "mix_key", "block")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op3_jaccard_join": op3_jaccard_join,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLES = {

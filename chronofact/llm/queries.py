@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, dedup, importance, jaccard_join, langid, mixing, quality_rules, sharding, token_counts
+from . import bpe, dedup, importance, jaccard_join, langid, licenses, mixing, quality_rules, sharding, token_counts
 
 SHARDS = 40
 TOKEN_LIMIT = 4096
@@ -58,6 +58,13 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir), keep="largest").drop("n_bytes")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = licenses.scanned(docs, licenses.fitted(docs))
+    families = F.array_sort(F.array_distinct(F.transform("notices", lambda x: x["family"])))
+    return found.select("doc_id", families.alias("families"), F.size("notices").cast("long").alias("n_notices"))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
@@ -85,6 +92,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_license_scans": op7_license_scans,
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,

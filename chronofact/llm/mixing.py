@@ -11,7 +11,7 @@ takes rows in its order up to its token budget, which is a threshold of the
 hash; it is found exactly from sums over all rows. So rows are chosen and
 placed where they are read: texts are not shuffled, and a source with a third
 of all rows is no task of its own. mix_key (pass + hash, over the number of
-passes) orders the mixture; block cuts it into blocks in each of which the
+passes; in the partial pass, over the part that is taken) orders the mixture; block cuts it into blocks in each of which the
 sources have their target weights.
 
 Cases: a null source is a source. Null and empty texts have no tokens; sources
@@ -150,10 +150,12 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     base = own_rows(df, *ADDED)
     source, ident = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
     passes = F.sequence(F.lit(0), F.when(_hash(source, F.col("_whole"), ident, seed) <= F.col("_last"), F.col("_whole")).otherwise(F.col("_whole") - 1))
+    at = _hash(source, F.col("epoch"), ident, seed)
+    part = F.when(F.col("epoch") == F.col("_whole"), (F.col("_repeats") - F.col("_whole")) * at / (F.col("_last") + 1)).otherwise(at / F.lit(2.0**53))
     placed = (
         base.withColumn("n_tokens", tokens)
         .join(F.broadcast(table), source.eqNullSafe(F.col("_source")))  # at most max_sources rows
         .withColumn("epoch", F.explode(passes))
-        .withColumn("mix_key", (F.col("epoch") + _hash(source, F.col("epoch"), ident, seed) / F.lit(2.0**53)) / F.col("_repeats"))
+        .withColumn("mix_key", (F.col("epoch") + part) / F.col("_repeats"))
     )
     return placed.withColumn("block", F.least(F.lit(blocks - 1), F.floor(F.col("mix_key") * blocks)).cast("int")).drop("_source", "_repeats", "_whole", "_last")

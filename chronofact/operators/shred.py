@@ -51,7 +51,8 @@ def _shred(df: DataFrame, schema: T.StructType, own, id_col: str) -> DataFrame:
             inner = rows.select("_e", ident.alias("_id"), "_v.*")
             e, v = ("_id", "_e") if back else ("_e", "_id")
             out.append(inner.select(F.col(e).alias("e"), F.lit(attribute).alias("a"), F.col(v).alias("v")))
-            out.append(_shred(inner, element, F.col("_id"), id_col))
+            if set(element.fieldNames()) - {id_col}:
+                out.append(_shred(inner, element, F.col("_id"), id_col))
         else:
             e, v = (F.col("_v").cast("string"), F.col("_e")) if back else (F.col("_e"), F.col("_v").cast("string"))
             out.append(rows.select(e.alias("e"), F.lit(attribute).alias("a"), v.alias("v")))

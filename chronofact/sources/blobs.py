@@ -57,6 +57,6 @@ def zipped(df: DataFrame, name: str, content: str) -> DataFrame:
                 z.writestr(n, c)
             return out.getvalue()
 
-        return pd.Series([one(n, c) for n, c in zip(names, contents)])
+        return pd.Series([None if c is None else one(n, c) for n, c in zip(names, contents)], dtype=object)
 
     return df.withColumn(content, pack(name, content))

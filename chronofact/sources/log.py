@@ -23,9 +23,11 @@ def read_json(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame
     A broken line has no t of its own; within a file, it counts for the
     transaction of the last whole line before it.
     """
-    raw = spark.read.schema(f"{schema}, {CORRUPT} string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    rows = raw.withColumn("_file", F.input_file_name()).withColumn("_at", F.monotonically_increasing_id())
-    broken = rows.filter(F.col(CORRUPT).isNotNull()).groupBy("_file").agg(F.min("_at").alias("_stop"))
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    rows = lines.select(parsed.alias("r"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    rows = rows.select("r.*", "_file", "_at")
+    broken = rows.filter(F.col(CORRUPT).isNotNull() | F.col("t").isNull()).groupBy("_file").agg(F.min("_at").alias("_stop"))
     whole = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
     kept = whole.join(F.broadcast(broken), "_file", "left").filter(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))  # a row for each broken file
     return kept.drop("_file", "_at", "_stop")

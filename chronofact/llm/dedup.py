@@ -86,16 +86,13 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat id and text come out once.
     """
-    kept = (
-        exact_dedup(df, id_col, text_col, keep, None, fan_in)
-        .filter("kept")
-        .select(F.col(id_col).alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    )
+    # plain keys for join and grouping, so that both use one exchange of the rows
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_id")
+    kept = exact_dedup(df, id_col, text_col, keep, None, fan_in).filter("kept").select(key, F.unhex("text_sha256").alias("_digest"))
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),
-        F.col(id_col).alias("_id"),
-        F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).alias("_digest"),
+        key,
+        F.unhex(F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256)).alias("_digest"),
     )
-    joined = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_digest"] == kept["_digest"]), "left_semi")
-    one = joined.groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
+    one = rows.join(kept, ["_id", "_digest"], "left_semi").groupBy("_id", "_digest").agg(F.first("_row").alias("_row"))
     return one.select("_row.*")

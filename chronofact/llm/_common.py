@@ -48,6 +48,37 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one operator's run in the shared folder; drop() as soon as one is not read any more.
+
+    Tables read back carry no constraints of earlier steps, so plans of many
+    steps stay small, and their sizes are known to the planner.
+    """
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.root, self.count, self.paths = spark, f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}", 0, {}
+        target, fs = self._fs(self.root)
+        fs.deleteOnExit(target)
+
+    def _fs(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        for df in frames:
+            path, _ = self.paths.pop(id(df))
+            target, fs = self._fs(path)
+            fs.delete(target, True)
+
+
 def swept(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of frames that are no longer held."""
     gc.collect()

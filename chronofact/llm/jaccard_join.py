@@ -42,15 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ._common import cut, swept
+from ._common import Scratch, swept
 from ._text import mix, slices, word_hashes
 from .components import connected
 
 SMALL = 6  # sets of under 2**SMALL n-grams use single n-grams as segments
 COARSE = 8192  # n-grams in a coarse fragment, about
 PARITY = 8
+BITS = [f"p{k}" for k in range(PARITY)]
 ROUNDS = 2
-FEATURES = "doc_id {id}, n long, sid binary, own array<long>, low array<long>, deficient int, " + ", ".join(f"p{k} long" for k in range(PARITY))
+FEATURES = "doc_id {id}, n long, sid binary, own array<long>, low array<long>, deficient int, n_own int, n_low int, " + ", ".join(f"p{k} long" for k in range(PARITY))
 
 
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
@@ -124,8 +125,8 @@ def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
                 pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()),
                 pa.array(np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in parts]])),
             )
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), as_list(own), as_list(low), pa.array(deficient, pa.int32()), *[pa.array(table[:, k]) for k in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "own", "low", "deficient", *[f"p{k}" for k in range(PARITY)]])
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), as_list(own), as_list(low), pa.array(deficient, pa.int32()), pa.array([len(x) for x in own], pa.int32()), pa.array([len(x) for x in low], pa.int32()), *[pa.array(table[:, k]) for k in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "own", "low", "deficient", "n_own", "n_low", *[f"p{k}" for k in range(PARITY)]])
 
     return rows.mapInArrow(run, FEATURES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -136,7 +137,7 @@ def coarse_level(n):
 
 
 def coarse_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """(cid, level, frag, grams) from rows (cid, sid, text); only texts with that set."""
+    """(cid, level, frag, grams) from rows (cid, sid, text); only texts with that set. Repeated rows give repeated sets."""
 
     def level_of(size: int) -> int:
         return max(0, int(np.ceil(np.log2(max(size, 1) / COARSE))))
@@ -158,7 +159,7 @@ def coarse_sets(texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
                         begin = end
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary()))], names=["cid", "level", "frag", "grams"])
 
-    return texts.select("cid", "sid", "text").mapInArrow(run, "cid long, level int, frag int, grams binary").dropDuplicates(["cid", "level", "frag"])
+    return texts.select("cid", "sid", "text").mapInArrow(run, "cid long, level int, frag int, grams binary")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -172,111 +173,117 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .select(F.col("cid").alias("b"), "level", "frag", "salt", F.col("grams").alias("grams_b"))
     )
     of_a = sets.select(F.col("cid").alias("a"), "level", "frag", F.col("grams").alias("grams_a"))
-    joined = salted.join(of_a, ["a", "level"]).join(of_b, ["b", "level", "frag", "salt"]).select("a", "b", "grams_a", "grams_b")
+    joined = salted.join(of_a, ["a", "level"]).join(of_b, ["b", "level", "frag", "salt"]).select("a", "b", "frag", "grams_a", "grams_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = []
-            for x, y in zip(batch.column(2), batch.column(3)):
+            for x, y in zip(batch.column(3), batch.column(4)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
                 at = np.searchsorted(y, x)
                 at[at == len(y)] = 0
                 counts.append(int(np.count_nonzero(y[at] == x)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["a", "b", "part"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int64())], names=["a", "b", "frag", "part"])
 
-    return joined.mapInArrow(run, "a long, b long, part long").groupBy("a", "b").agg(F.sum("part").alias("common"))
+    parts = joined.mapInArrow(run, "a long, b long, frag int, part long").groupBy("a", "b", "frag").agg(F.max("part").alias("part"))
+    return parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
-def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, class_size for each row of df; linked at num / den or more."""
-    small = SMALL
-    while True:
-        found = cut(features(df, id_col, text_col, n, num, den, small).withColumn("rid", F.monotonically_increasing_id()))
-        worst = found.agg(F.max("deficient")).first()[0]
-        if worst is None or worst < 0:
-            break
-        small = worst + 1
-    spark = df.sparkSession
-    swept(spark)
+def prefix_index(found: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
+    """(cid, key, n, parity bits): the rarest segments of each class, as many as the prefix principle asks for."""
     live = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    bits = [f"p{k}" for k in range(PARITY)]
-    firsts = lambda *names: [F.first(c).alias(c) for c in names]
-    classes = live.groupBy("sid").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), F.count("*").alias("class_size"), F.first("n").alias("n"))
-    keyed = live.groupBy("sid").agg(F.min("rid").alias("cid"), *firsts("n", "own", "low"))
-    far = F.floor(F.col("n") * (den - num) / F.lit(num))
-    keyed = cut(
-        keyed.select(F.col("cid"), "n", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("ks")), F.struct(F.lit(1).alias("side"), F.col("low").alias("ks")))).alias("l"))
-        .filter(F.size("l.ks") > 0)
-        .select((F.col("cid") * 2 + F.col("l.side")).alias("ref"), (F.size("l.ks") - far).alias("spare"), F.col("l.ks").alias("ks"))
-    )
-    rows = keyed.select("ref", F.explode("ks").alias("key"))
+    keyed = live.groupBy("sid").agg(F.min("rid").alias("cid"), F.first("own").alias("own"), F.first("low").alias("low"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("ks")), F.struct(F.lit(1).alias("side"), F.col("low").alias("ks")))
+    sided = keyed.select("cid", F.explode(sides).alias("l"))
+    rows = sided.select((F.col("cid") * 2 + F.col("l.side")).alias("ref"), F.explode("l.ks").alias("key"))
     counts = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    shared = rows.join(counts, "key")
     by_ref = W.partitionBy("ref")
-    ranked = shared.select("ref", "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
+    ranked = rows.join(counts, "key").select(F.floor(F.col("ref") / 2).alias("cid"), F.pmod("ref", F.lit(2)).alias("side"), "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
     # spare = m - D, so the prefix of D + 1 has D + 1 - (m - common) of the common ones
-    chosen = ranked.join(keyed.select("ref", "spare"), "ref").filter(F.col("place") <= F.col("common") - F.col("spare") + 1)
-    prefix = chosen.select(F.floor(F.col("ref") / 2).alias("cid"), "key").distinct()
-    about = live.groupBy("sid").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), *firsts("n", *bits))
-    index = cut(prefix.join(about.select("cid", "n", *bits), "cid"))
-    held = index.select("cid").distinct()
-    reps = about.join(held, "cid", "left_semi").select("cid", "sid", F.col("low_id").alias("doc_id"))
-    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(reps, "doc_id")
-    sets = cut(coarse_sets(texts, n, num, den))
-    swept(spark)
-
-    def candidates(left: DataFrame, right: DataFrame, extra) -> DataFrame:
-        x, y = left.alias("x"), right.alias("y")
-        c = lambda s, k: F.col(f"{s}.{k}")
-        apart = sum((F.bit_count(c("x", b).bitwiseXOR(c("y", b))) for b in bits), F.lit(0))
-        both = c("x", "n") + c("y", "n")
-        near = (apart * (den + num) <= both * (den - num)) & (c("x", "n") * den >= c("y", "n") * num) & (c("y", "n") * den >= c("x", "n") * num)
-        return (
-            x.join(y, (c("x", "key") == c("y", "key")) & near & (c("x", "root") != c("y", "root")) & extra(c))
-            .select(c("x", "cid").alias("a"), c("y", "cid").alias("b"), coarse_level(F.greatest(c("x", "n"), c("y", "n"))).alias("level"), both.alias("both"))
-            .distinct()
-        )
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        common = overlaps(pairs, sets)
-        return common.join(pairs, ["a", "b"]).filter(den * F.col("common") >= num * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
-
-    links = None
-    roots = None
+    spare = F.when(F.col("side") == 0, F.col("n_own")).otherwise(F.col("n_low")) - F.floor(F.col("n") * (den - num) / F.lit(num))
+    chosen = ranked.join(about, "cid").filter(F.col("place") <= F.col("common") - spare + 1)
+    return chosen.select("cid", "key", "n", *BITS).distinct()
+
+
+def candidates(left: DataFrame, right: DataFrame, num: int, den: int, extra) -> DataFrame:
+    """(a, b, level, both): pairs that share a key, are in different components and may be near by size and parity."""
+    x, y = left.alias("x"), right.alias("y")
+    c = lambda s, k: F.col(f"{s}.{k}")
+    apart = sum((F.bit_count(c("x", b).bitwiseXOR(c("y", b))) for b in BITS), F.lit(0))
+    both = c("x", "n") + c("y", "n")
+    near = (apart * (den + num) <= both * (den - num)) & (c("x", "n") * den >= c("y", "n") * num) & (c("y", "n") * den >= c("x", "n") * num)
+    return (
+        x.join(y, (c("x", "key") == c("y", "key")) & near & (c("x", "root") != c("y", "root")) & extra(c))
+        .select(c("x", "cid").alias("a"), c("y", "cid").alias("b"), coarse_level(F.greatest(c("x", "n"), c("y", "n"))).alias("level"), both.alias("both"))
+        .distinct()
+    )
+
+
+def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    common = overlaps(pairs, sets)
+    return common.join(pairs, ["a", "b"]).filter(den * F.col("common") >= num * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def components_of(index: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+    """(node, root) of the classes that have links; None without any."""
+    links, roots = None, None
     for step in range(ROUNDS + 1):
         placed = index.withColumn("root", F.col("cid")) if roots is None else index.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
         if step < ROUNDS:
-            head = F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "root", *bits)
-            leaders = placed.groupBy("key").agg(F.min(head).alias("s")).select("key", "s.cid", "s.n", "s.root", *[f"s.{b}" for b in bits])
-            pairs = candidates(placed, leaders, lambda c: F.lit(True))
+            head = F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "root", *BITS)
+            leaders = placed.groupBy("key").agg(F.min(head).alias("s")).select("key", "s.cid", "s.n", "s.root", *[f"s.{b}" for b in BITS])
+            pairs = candidates(placed, leaders, num, den, lambda c: F.lit(True))
         else:
-            pairs = candidates(placed, placed, lambda c: c("x", "cid") < c("y", "cid"))
-        pairs = cut(pairs)
+            pairs = candidates(placed, placed, num, den, lambda c: c("x", "cid") < c("y", "cid"))
+        pairs = scratch.cut(pairs)
         if pairs.isEmpty():
             break
-        new = linked(pairs)
-        links = cut(new if links is None else links.unionByName(new))
-        roots = connected(links)
-        swept(spark)
-    named = classes.select("sid", "cid", "low_id", "class_size")
-    if roots is not None:
+        new = linked(pairs, sets, num, den)
+        links = scratch.cut(new if links is None else links.unionByName(new))
+        roots = scratch.cut(connected(links, scratch))
+        scratch.drop(pairs)
+        swept(scratch.spark)
+    return roots
+
+
+def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, n_shingles, component_id, class_size for each row of df; linked at num / den or more."""
+    scratch = Scratch(df.sparkSession, "jaccard")
+    small = SMALL
+    while True:
+        found = scratch.cut(features(df, id_col, text_col, n, num, den, small).withColumn("rid", F.monotonically_increasing_id()))
+        worst = found.agg(F.max("deficient")).first()[0]
+        if worst is None or worst < 0:
+            break
+        small = worst + 1
+        scratch.drop(found)
+    live = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
+    firsts = [F.first(c).alias(c) for c in ("n", "n_own", "n_low", *BITS)]
+    about = scratch.cut(live.groupBy("sid").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), F.count("*").alias("class_size"), *firsts))
+    rows = scratch.cut(found.select("doc_id", "n", "sid"))
+    index = scratch.cut(prefix_index(found, about.select("cid", "n", "n_own", "n_low", *BITS), num, den))
+    scratch.drop(found)
+    swept(df.sparkSession)
+    held = about.join(index.select("cid").distinct(), "cid", "left_semi").select("cid", "sid", F.col("low_id").alias("doc_id"))
+    texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(held, "doc_id")
+    sets = scratch.cut(coarse_sets(texts, n, num, den))
+    swept(df.sparkSession)
+    roots = components_of(index, sets, num, den, scratch)
+    scratch.drop(sets, index)
+    named = about.select("sid", "cid", "low_id", "class_size")
+    if roots is None:
+        named = named.withColumn("component_id", F.col("low_id"))
+    else:
         rooted = named.join(roots.withColumnRenamed("node", "cid"), "cid")
         lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-        grouped = rooted.join(lowest, "root").select("sid", "component_id")
-        named = named.join(grouped, "sid", "left")
-    else:
-        named = named.withColumn("component_id", F.col("low_id"))
-    named = cut(named.select(F.col("sid").alias("own_sid"), "class_size", F.coalesce("component_id", "low_id").alias("component_id")))
+        named = named.join(rooted.join(lowest, "root").select("sid", "component_id"), "sid", "left")
+    named = scratch.cut(named.select(F.col("sid").alias("own_sid"), "class_size", F.coalesce("component_id", "low_id").alias("component_id")))
     lone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return (
-        found.select("doc_id", "n", "sid")
-        .join(named, (F.col("sid") == F.col("own_sid")) & ~lone, "left")
-        .select(
-            F.col("doc_id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-            F.coalesce("class_size", F.lit(1)).alias("class_size"),
-        )
+    return rows.join(named, (F.col("sid") == F.col("own_sid")) & ~lone, "left").select(
+        F.col("doc_id").alias(id_col),
+        F.col("n").alias("n_shingles"),
+        F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        F.coalesce("class_size", F.lit(1)).alias("class_size"),
     )

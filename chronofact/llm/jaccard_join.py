@@ -7,11 +7,13 @@ fragments; a document's n-gram set falls into one segment for each fragment.
 2. Candidates. Two sets with similarity t or more differ in at most
    D = n (1 - t) / t n-grams, n being the smaller size, so they agree in all
    but D of their segments. Sets of like size are cut into the same number of
-   fragments, more than D of them filled. Segments (or, for small sets, single
-   n-grams) are counted over all classes and ordered rarest first; by the prefix
-   principle the first D + 1 of two linked sets have one in common. Segments
-   that occur once fill the prefixes of unlike documents, which are then out.
-   So hot passages and lines make no candidates.
+   fragments, D + L of them filled or more. The first D + L segments of two
+   linked sets then have at least as many in common as the smaller L says. These
+   segments (for small sets, single n-grams) are counted over all classes, in
+   waves of the key space, and ordered rarest first; of those with c in common,
+   the first D + L - c + 1 suffice by the prefix principle. Segments that occur
+   once fill the prefixes of unlike documents, which are then out, and L leaves
+   room to pass over hot ones. So hot passages and lines make no candidates.
 3. Overlaps. A candidate pair's overlap is counted apart in each coarse
    fragment of the order, and the counts are summed for each pair.
 4. Links. First the members of a segment are compared with one leader only, a
@@ -21,7 +23,7 @@ fragments; a document's n-gram set falls into one segment for each fragment.
    large group of near copies costs about its size, yet no component loses a
    link.
 
-Should some set fill too few fragments (then the principle does not hold), the
+Should some set fill fewer fragments than D + L (then this does not hold), the
 keys are made again with single n-grams up to that set's size.
 
 Cases: a null or wordless text has an empty set and no links; a text with fewer
@@ -35,6 +37,7 @@ text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +57,11 @@ ROUNDS = 2
 FEATURES = "doc_id {id}, n long, sid binary, own array<long>, low array<long>, deficient int, n_own int, n_low int, " + ", ".join(f"p{k} long" for k in range(PARITY))
 
 
+def slack(far: int) -> int:
+    """L, for sets that may differ in far n-grams; it does not fall as far grows."""
+    return far * 3 // 20 + 1
+
+
 def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each text's word n-grams, ASCII letters in lower case."""
     words, first = word_hashes(texts, lower=True)
@@ -109,16 +117,18 @@ def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
                 sids.append(set_id(s))
                 size_class = size.bit_length() - 1
                 keys, below = [], []
+                d = size * (den - num) // num
                 if size:
                     k = fragments(size_class)
-                    keys = segment_keys(s, k).view(np.int64)
+                    keys = segment_keys(s, k).view(np.int64)[: d + slack(d)]
                     # smaller partners may be in the class below
                     if size_class and num * size <= den * (2**size_class - 1):
                         if (k2 := fragments(size_class - 1)) != k:
-                            below = segment_keys(s, k2).view(np.int64)
+                            below = segment_keys(s, k2).view(np.int64)[: d + slack(d)]
                 own.append(keys)
                 low.append(below)
-                deficient.append(size_class if size and len(keys) <= size * (den - num) // num else -1)
+                short = len(keys) < min(size, d + slack(d)) or len(below) and len(below) < min(size, d + slack(d))
+                deficient.append(size_class if short else -1)
                 bits.append(parity(s))
             table = np.stack(bits) if bits else np.zeros((0, PARITY), np.int64)
             as_list = lambda parts: pa.ListArray.from_arrays(
@@ -191,20 +201,38 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
-def prefix_index(found: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
-    """(cid, key, n, parity bits): the rarest segments of each class, as many as the prefix principle asks for."""
+def prefix_index(found: DataFrame, about: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+    """(cid, key, n, parity bits): the rarest segments of each class, as many as the prefix principle asks for.
+
+    found is dropped as soon as its keys are collapsed to classes.
+    """
     live = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    keyed = live.groupBy("sid").agg(F.min("rid").alias("cid"), F.first("own").alias("own"), F.first("low").alias("low"))
+    keyed = scratch.cut(live.groupBy("sid").agg(F.min("rid").alias("cid"), F.first("own").alias("own"), F.first("low").alias("low")).select("cid", "own", "low"))
+    scratch.drop(found)
+    swept(scratch.spark)
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("ks")), F.struct(F.lit(1).alias("side"), F.col("low").alias("ks")))
     sided = keyed.select("cid", F.explode(sides).alias("l"))
     rows = sided.select((F.col("cid") * 2 + F.col("l.side")).alias("ref"), F.explode("l.ks").alias("key"))
-    counts = rows.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    waves = 1 if num * 8 > den * 7 else 2  # more segments for lower similarities: their exchanges are held one after the other
+    parts = []
+    for wave in range(waves):
+        mine = rows.filter(F.pmod("key", F.lit(waves)) == wave)
+        counts = mine.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+        parts.append(scratch.cut(mine.join(counts, "key").select("ref", "key", "c")))
+        del mine, counts
+        swept(scratch.spark)
+    shared = reduce(DataFrame.unionByName, parts)
     by_ref = W.partitionBy("ref")
-    ranked = rows.join(counts, "key").select(F.floor(F.col("ref") / 2).alias("cid"), F.pmod("ref", F.lit(2)).alias("side"), "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
-    # spare = m - D, so the prefix of D + 1 has D + 1 - (m - common) of the common ones
-    spare = F.when(F.col("side") == 0, F.col("n_own")).otherwise(F.col("n_low")) - F.floor(F.col("n") * (den - num) / F.lit(num))
-    chosen = ranked.join(about, "cid").filter(F.col("place") <= F.col("common") - spare + 1)
-    return chosen.select("cid", "key", "n", *BITS).distinct()
+    ranked = shared.select(F.floor(F.col("ref") / 2).alias("cid"), F.pmod("ref", F.lit(2)).alias("side"), "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
+    # a partner has num / den as many n-grams or more, so c is its slack at least; sets of one prefix's size have all in common
+    size, n = F.when(F.col("side") == 0, F.col("n_own")).otherwise(F.col("n_low")), F.col("n")
+    partner = F.floor(F.floor((n * num + den - 1) / F.lit(den)) * (den - num) / F.lit(num))
+    agreed = F.floor(partner * 3 / 20) + 1
+    # the prefix has size - agreed + 1 segments; those that occur once come first in it
+    chosen = ranked.join(about, "cid").filter(F.col("place") <= (size - agreed + 1) - (size - F.col("common")))
+    index = scratch.cut(chosen.select("cid", "key", "n", *BITS).distinct())
+    scratch.drop(keyed, *parts)
+    return index
 
 
 def candidates(left: DataFrame, right: DataFrame, num: int, den: int, extra) -> DataFrame:
@@ -263,8 +291,7 @@ def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id
     firsts = [F.first(c).alias(c) for c in ("n", "n_own", "n_low", *BITS)]
     about = scratch.cut(live.groupBy("sid").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), F.count("*").alias("class_size"), *firsts))
     rows = scratch.cut(found.select("doc_id", "n", "sid"))
-    index = scratch.cut(prefix_index(found, about.select("cid", "n", "n_own", "n_low", *BITS), num, den))
-    scratch.drop(found)
+    index = prefix_index(found, about.select("cid", "n", "n_own", "n_low", *BITS), num, den, scratch)
     swept(df.sparkSession)
     held = about.join(index.select("cid").distinct(), "cid", "left_semi").select("cid", "sid", F.col("low_id").alias("doc_id"))
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(held, "doc_id")

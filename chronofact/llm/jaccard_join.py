@@ -106,7 +106,7 @@ def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: i
     far = (den - num) / num
 
     def fragments(size_class: int) -> int:
-        return 0 if size_class < small or far > 0.3 else int(np.ceil(2 ** (size_class + 1) * far * 1.25))
+        return 0 if size_class < small or far > 0.3 else int(np.ceil(2 ** (size_class + 1) * far * 1.6))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):

@@ -266,11 +266,11 @@ def components_of(index: DataFrame, sets: DataFrame, num: int, den: int, scratch
         else:
             pairs = candidates(placed, placed, num, den, lambda c: c("x", "cid") < c("y", "cid"))
         pairs = scratch.cut(pairs)
-        if pairs.isEmpty():
-            break
-        new = linked(pairs, sets, num, den)
-        links = scratch.cut(new if links is None else links.unionByName(new))
-        roots = scratch.cut(connected(links, scratch))
+        # a leader round without pairs says nothing of the pairs without leader
+        if not pairs.isEmpty():
+            new = linked(pairs, sets, num, den)
+            links = scratch.cut(new if links is None else links.unionByName(new))
+            roots = scratch.cut(connected(links, scratch))
         scratch.drop(pairs)
         swept(scratch.spark)
     return roots

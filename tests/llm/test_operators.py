@@ -128,6 +128,16 @@ def test_jaccard_join(spark, rows, n, num):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(made, n, num, 100)
 
 
+def test_jaccard_join_of_a_quoted_passage(spark):
+    """The leaders of the passage's keys are texts that quote it, too long to be near anything."""
+    rng = random.Random(0)
+    passage = prose(rng, 12).split(" ")
+    made = [(1, " ".join(passage), "en", "a"), (2, " ".join([*passage[:-1], "zz"]), "en", "a")]
+    made += [(10 + k, " ".join([*passage[:-1], *prose(rng, 19, "hijklmn").split(" ")]), "en", "a") for k in range(40)]
+    found = jaccard_join.near_duplicates(docs_of(spark, made).coalesce(1), 3, 80, 100).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(made, 3, 80, 100)
+
+
 def test_jaccard_join_of_nothing(spark):
     df = docs_of(spark, [(1, "a", "en", "a")])
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0

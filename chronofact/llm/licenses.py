@@ -9,9 +9,16 @@ MIN_PROB. It must then be confirmed: at least MIN_SHARE of the word pairs of one
 of the family's templates occur in the paragraph. What is a notice but has no
 confirmed family is "unknown".
 
+A notice inside other text would vanish in the average over a long paragraph.
+So a paragraph that is none as a whole, or has more than LONG words, is also
+scored by all its windows of WINDOWS words; windows found that overlap are one
+span. In a span the windows with a confirmed family that hold most of a template
+are notices, as far as they do not overlap; a span without any is "unknown" if one of its
+windows has p > 0.9. So such a span may hold up to a window of text beside it.
+
 Training: variants of the templates below, and at most max_negatives corpus
 paragraphs, from rows chosen by a
-hash of the id. So the models are bounded and fitted on
+hash of the id, with four windows of each. So the models are bounded and fitted on
 the driver; scans cover every paragraph.
 
 Cases: null, empty and wordless texts have no paragraphs, and a row with empty
@@ -22,6 +29,7 @@ row for each input row. Input columns other than id and text are not read.
 from __future__ import annotations
 
 import random
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +45,10 @@ BITS = 15
 MIN_PROB = 0.5
 MIN_SHARE = 0.6
 UNKNOWN = "unknown"
+WINDOWS = (6, 9, 14, 20)  # words; the longest template has 18
+LONG = 40
+SPAN_LOGIT = 2.2  # p > 0.9: with so many windows, a few of prose are over 0.5
+WORDS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+")  # as word_hashes finds them, with marks
 
 # Short notices and opening sentences by which public licences are declared.
 TEMPLATES = {
@@ -128,21 +140,72 @@ class Scanner:
     names: list[str]
     templates: list[list[set]]
 
-    def scan(self, lines: list[bytes]) -> list[tuple[int, str, float]]:
-        """(line, family or UNKNOWN, probability) of each notice."""
-        if not lines:
-            return []
-        found = np.flatnonzero(self.notice.probabilities(lines)[:, 1] > 0.5)
-        if not len(found):
-            return []
+    def windows(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, first word, end, logit) of each window of words that is a notice."""
+        words, first = word_hashes(lines, lower=True, marks=True)
+        own = np.repeat(np.arange(len(lines)), np.diff(first))
+        weight = (self.notice.weights[1] - self.notice.weights[0]) / self.notice.temperature
+        bias = (self.notice.bias[1] - self.notice.bias[0]) / self.notice.temperature
+        sums = lambda h: np.append(0.0, np.cumsum(weight[(h >> np.uint64(64 - BITS)).astype(np.int64)]))
+        of_words, of_pairs = sums(words), sums(mix(words[:-1] * np.uint64(0x9FB21C651E98DF25) + words[1:]))
+        found = []
+        for size in WINDOWS:
+            n = len(words) - size + 1
+            if n > 0:
+                z = (of_words[size:] - of_words[:n] + of_pairs[size - 1 :] - of_pairs[:n]) / (2 * size - 1) + bias
+                at = np.flatnonzero((z > 0) & (own[:n] == own[size - 1 :]))
+                found.append((own[at], at - first[own[at]], at - first[own[at]] + size, z[at]))
+        return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+
+    def judged(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
+        """(family or UNKNOWN, probability, the largest share of one of its templates) of each notice."""
         out = []
-        for k, p in zip(found, self.family.probabilities([lines[k] for k in found])):
+        for text, p in zip(texts, self.family.probabilities(texts)):
             best = int(np.argmax(p))
-            own = word_pairs(lines[k])
-            sure = best < len(self.names) and p[best] >= MIN_PROB and any(len(t & own) >= MIN_SHARE * len(t) for t in self.templates[best])
-            out.append((int(k), self.names[best] if sure else UNKNOWN, float(p[best])))
+            own = word_pairs(text)
+            share = max(len(t & own) / len(t) for t in self.templates[best]) if best < len(self.names) else 0.0
+            sure = p[best] >= MIN_PROB and share >= MIN_SHARE
+            out.append((self.names[best] if sure else UNKNOWN, float(p[best]), share))
         return out
 
+    def inside(self, line: bytes, begins: np.ndarray, ends: np.ndarray, logits: np.ndarray) -> list[tuple[int, int, str, float]]:
+        """(begin, end, family or UNKNOWN, probability) of each notice in a line's windows, in bytes."""
+        at = [m.span() for m in WORDS.finditer(line)]
+        order = np.lexsort((ends, begins))
+        begins, ends, logits = begins[order], ends[order], logits[order]
+        cuts = np.flatnonzero(begins[1:] >= np.maximum.accumulate(ends)[:-1]) + 1
+        out = []
+        for b, e, z in zip(np.split(begins, cuts), np.split(ends, cuts), np.split(logits, cuts)):
+            judged = self.judged([line[at[x][0] : at[y - 1][1]] for x, y in zip(b, e)])
+            sure = sorted((k for k in range(len(b)) if judged[k][0] != UNKNOWN), key=lambda k: (-judged[k][2], -judged[k][1], b[k]))
+            taken = np.zeros(int(e.max() - b[0]), dtype=bool)
+            for k in sure:
+                own = taken[b[k] - b[0] : e[k] - b[0]]
+                if not own.any():
+                    own[:] = True
+                    out.append((at[b[k]][0], at[e[k] - 1][1], *judged[k][:2]))
+            if not sure and z.max() > SPAN_LOGIT:
+                out.append((at[b[0]][0], at[e.max() - 1][1], UNKNOWN, judged[int(np.argmax(z))][1]))
+        return sorted(out)
+
+    def scan(self, lines: list[bytes]) -> list[tuple[int, int, int, str, float]]:
+        """(line, begin, end, family or UNKNOWN, probability) of each notice; begin and end in bytes of the line."""
+        if not lines:
+            return []
+        whole = self.notice.probabilities(lines)[:, 1] > 0.5
+        n_words = np.diff(word_hashes(lines, marks=True)[1])
+        rest = np.flatnonzero((~whole & (n_words > WINDOWS[0])) | (n_words > LONG))
+        line, begins, ends, logits = self.windows([lines[k] for k in rest])
+        order = np.argsort(line, kind="stable")
+        line, begins, ends, logits = line[order], begins[order], ends[order], logits[order]
+        held, first = np.unique(line, return_index=True)
+        found = {int(rest[k]): self.inside(lines[rest[k]], *x) for k, *x in zip(held, *(np.split(x, first[1:]) for x in (begins, ends, logits)))}
+        found = {k: x for k, x in found.items() if x}
+        plain = [int(k) for k in np.flatnonzero(whole) if k not in found]
+        for k, (family, p, _) in zip(plain, self.judged([lines[k] for k in plain]) if plain else []):
+            found[k] = [(0, len(lines[k]), family, p)]
+        return [(k, *x) for k in sorted(found) for x in found[k]]
+
 
 def trained(negatives: list[bytes], seed: int = 3) -> Scanner:
     rng = random.Random(seed)
@@ -167,7 +230,14 @@ def trained(negatives: list[bytes], seed: int = 3) -> Scanner:
         return -float(np.mean(np.log(family.probabilities(out_of_fit)[np.arange(held.sum()), y[held]] + 1e-12)))
 
     family.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
-    notice = fitted_softmax(lines + negatives, np.array([1] * len(lines) + [0] * len(negatives)), 2)
+    parts = []
+    for text in negatives:
+        words = text.split()
+        for size in WINDOWS:
+            at = rng.randrange(max(1, len(words) - size + 1))
+            parts.append(b" ".join(words[at : at + size]))
+    others = negatives + parts
+    notice = fitted_softmax(lines + others, np.array([1] * len(lines) + [0] * len(others)), 2)
     return Scanner(notice, family, names, [[word_pairs(t.encode()) for t in TEMPLATES[n]] for n in names])
 
 
@@ -192,11 +262,12 @@ def scanned(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: s
             parts = [t.split(b"\n") for t in texts]
             first = np.cumsum([0, *map(len, parts)])
             notices: list[list[dict]] = [[] for _ in texts]
-            for k, family, p in shared.value.scan([x for ls in parts for x in ls]):
+            for k, b, e, family, p in shared.value.scan([x for ls in parts for x in ls]):
                 doc = int(np.searchsorted(first, k, side="right")) - 1
                 line = k - int(first[doc])
-                begin = sum(len(x.decode()) + 1 for x in parts[doc][:line])
-                notices[doc].append({"line": line, "begin": begin, "end": begin + len(parts[doc][line].decode()), "family": family, "probability": p})
+                text = parts[doc][line]
+                begin = sum(len(x.decode()) + 1 for x in parts[doc][:line]) + len(text[:b].decode())
+                notices[doc].append({"line": line, "begin": begin, "end": begin + len(text[b:e].decode()), "family": family, "probability": p})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(notices, pa.list_(item))], names=[id_col, "notices"])
 
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("notices", T.ArrayType(T._parse_datatype_string("struct<line:int,begin:bigint,end:bigint,family:string,probability:double>")))])

@@ -336,6 +336,24 @@ def test_license_scans(spark):
     assert licenses.scanned(df.limit(0), licenses.fitted(df)).count() == 0
 
 
+def test_license_notices_inside_long_lines(spark):
+    rng = random.Random(18)
+    notices = {"mit": "Released under the MIT License.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.", "unknown": "Use is subject to the license agreement."}
+    rows = [(i, prose(rng, 500), "en", "a") for i in range(40)]
+    rows += [(100 + k, f"é\n{prose(rng, 250)} {t} {prose(rng, 250)}", "en", "a") for k, t in enumerate(notices.values())]
+    rows.append((200, f"{prose(rng, 200)} {notices['mit']} {prose(rng, 200)} {notices['gpl-3.0']} {prose(rng, 100)}", "en", "a"))
+    df = docs_of(spark, rows)
+    out = {r.doc_id: r.notices for r in licenses.scanned(df, licenses.fitted(df)).collect()}
+    assert all(not out[i] for i in range(40))
+    texts = {i: t for i, t, *_ in rows}
+    for k, (family, notice) in enumerate(notices.items()):
+        (n,) = out[100 + k]
+        assert n.family == family and n.line == 1
+        # the span may have words more or one less at its ends
+        assert " ".join(notice.split()[1:-1]) in texts[100 + k][n.begin : n.end] and n.end - n.begin < len(notice) + 250
+    assert [n.family for n in out[200]] == ["mit", "gpl-3.0"]
+
+
 def test_mixing_weights():
     a, budget, w, repeats = mixing.planned_repeats([900, 90, 10, 0], 3.0, None)
     assert math.isclose(max(repeats), 3.0, rel_tol=1e-6) and math.isclose(min(repeats), 1.0)

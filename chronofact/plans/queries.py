@@ -330,6 +330,21 @@ def full_text_delta(spark, d):
     return views.delta(views.full_text, T.expanded_sets(base.unionByName(news)), 1)
 
 
+@registered(
+    f"""WITH o AS (SELECT DISTINCT doc_id AS e, unnest({TOKENS}) AS token FROM documents), m AS (SELECT DISTINCT e + 1 AS e, token FROM o WHERE e + 1 IN (SELECT doc_id FROM documents)),
+    moved AS (SELECT doc_id + 1 AS e FROM documents)
+    SELECT 'text' AS a, token, e, 'add' AS op FROM (SELECT e, token FROM m EXCEPT SELECT e, token FROM o)
+    UNION ALL SELECT 'text', token, e, 'remove' FROM (SELECT e, token FROM o WHERE e IN (SELECT e FROM moved) EXCEPT SELECT e, token FROM m)"""
+)
+def full_text_delta_whole(spark, d):
+    """Transaction 1 gives every document the text of the one before it, over all rows."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    base = docs.select(F.lit(0).cast("long").alias("t"), F.lit("add").alias("op"), F.col("doc_id").alias("e"), F.lit("text").alias("a"), F.col("text").alias("v"))
+    moved = docs.select((F.col("doc_id") + 1).alias("e"), "text").join(docs.select(F.col("doc_id").alias("e")), "e")
+    news = moved.select(F.lit(1).cast("long").alias("t"), F.lit("set").alias("op"), "e", F.lit("text").alias("a"), F.col("text").alias("v"))
+    return views.delta(views.full_text, T.expanded_sets(base.unionByName(news)), 1)
+
+
 @registered("SELECT DISTINCT unnest(list_transform(embedding, lambda x: CAST(floor(x * 10) AS BIGINT))) AS element, 'embedding' AS a, vec_id AS e FROM embeddings")
 def sequence_members(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("e"), F.lit("embedding").alias("a"), F.transform("embedding", lambda x: F.floor(x * F.lit(10)).cast("long")).alias("v"))

@@ -117,6 +117,19 @@ def test_full_text(spark):
     assert rows(views.full_text(state), "token", "e") == [("2", "2"), ("beañs", "1"), ("pötatos", "1"), ("tomatos", "1")]
 
 
+def test_full_text_delta_covers_all_documents(spark, tmp_path):
+    from chronofact.plans.queries import QUERIES
+
+    texts = {0: "a b", 1: "b c", 2: "c - d", 3: "e", 4: "", 5: "a", 7: "x", 8: "x y"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = {i: set(t.replace("-", " ").split()) for i, t in texts.items()}
+    expected = []
+    for i in texts:
+        if i - 1 in texts:
+            expected += [("text", w, i, "add") for w in words[i - 1] - words[i]] + [("text", w, i, "remove") for w in words[i] - words[i - 1]]
+    assert sorted(tuple(r) for r in QUERIES["full_text_delta_whole"](spark, str(tmp_path)).select("a", "token", "e", "op").collect()) == sorted(expected)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_folded_deltas_are_the_state(spark, seed):
     statements = random_log(random.Random(50 + seed), 18)

@@ -1,4 +1,4 @@
-"""Mixing sources by temperature: target weights realised as budgeted block permutations.
+"""Mixing sources by temperature: target weights realised as block permutations.
 
 A source's weight is its token share to the power a, normalised. The exponent
 is bisected: to the smallest one at which no source is repeated more often than
@@ -11,8 +11,8 @@ takes rows in its order up to its token budget, which is a threshold of the
 hash; it is found exactly from sums over all rows. So rows are chosen and
 placed where they are read: texts are not shuffled, and a source with a third
 of all rows is no task of its own. mix_key (pass + hash, over the number of
-passes; in the partial pass, over the part that is taken) orders the mixture; block cuts it into blocks in each of which the
-sources have their target weights.
+passes; in the partial pass, over the part that is taken) orders the mixture; block cuts it into blocks. Token
+budget and target weights hold in a block in expectation only.
 
 Cases: a null source is a source. Null and empty texts have no tokens; sources
 without tokens are passed once. Rows with equal source and id have equal hashes

@@ -1,4 +1,4 @@
-"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
+"""Exact dedup by a tree-merge of digest runs by hash aggregation, in DataFrame operations only.
 
 Every input partition is a run. In each round, groups of fan_in runs are
 exchanged and merged: equal digests meet, and the merged run keeps the

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shared import cut
+
 
 def count_rows(df: DataFrame) -> DataFrame:
     return df.agg(F.count("*").alias("count"))
@@ -42,6 +44,23 @@ def take_while_and_more(df: DataFrame, test: Column, order: str, n: int) -> Data
     return before.unionByName(after)
 
 
+def ranged(df: DataFrame, order: list[str]) -> DataFrame:
+    """df sorted by range partitions, with _p, the partition, and _k, the place in it; written once.
+
+    Partitions are planned anew by each query (ranges are sampled, small ones
+    coalesced), so whatever counts by _p must read the rows as they were written.
+    """
+    at = F.monotonically_increasing_id()  # the partition, and the row's number in it in the low 33 bits
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    return cut(placed).select(*df.columns, F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_k"))
+
+
+def _begins(placed: DataFrame, weight: Column) -> DataFrame:
+    """(_p, _begin): the weight of all partitions before; a row for each partition."""
+    sizes = placed.groupBy("_p").agg(F.sum(weight).alias("_n"))
+    return sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_begin"))
+
+
 def with_index(df: DataFrame, order: list[str], name: str = "index", part: list[str] | None = None) -> DataFrame:
     """The 0-based place of each row.
 
@@ -51,26 +70,27 @@ def with_index(df: DataFrame, order: list[str], name: str = "index", part: list[
     """
     if part:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*part).orderBy(*order)) - 1)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    local = ranged.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    begins = sizes.select("_p", (F.sum("_n").over(W.orderBy("_p")) - F.col("_n")).alias("_begin"))  # a row for each partition
-    return local.join(F.broadcast(begins), "_p").withColumn(name, F.col("_k") + F.col("_begin")).drop("_p", "_k", "_begin")
+    placed = ranged(df, order)
+    begins = F.broadcast(_begins(placed, F.lit(1).cast("long")))  # a row for each partition
+    return placed.join(begins, "_p").withColumn(name, F.col("_k") + F.col("_begin")).drop("_p", "_k", "_begin")
 
 
 def partition_by_size(df: DataFrame, key: str, order: str, size: str, maximum: int) -> DataFrame:
     """df with batch: within each key, a batch is closed when the next item would exceed the maximum.
 
-    Rows of a key arrive sorted, in bounded Arrow batches; the state is one sum.
+    Where a batch begins depends on all items before it, so a key is one task's
+    and is read in order; its rows arrive sorted, in bounded Arrow batches, and
+    the state is one sum. A null size counts as 0.
     """
     schema = T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])
-    at = df.columns
+    key_at, size_at = df.columns.index(key), df.columns.index(size)
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, batch, filled = object(), 0, 0
-        for pdf in parts:
+        for part in parts:
             out = []
-            for k, s in zip(pdf[key], pdf[size]):
+            for k, s in zip(part.column(key_at).to_pylist(), part.column(size_at).to_pylist()):
+                s = s or 0
                 if k != current:
                     current, batch, filled = k, 0, s
                 elif filled + s > maximum:
@@ -78,9 +98,9 @@ def partition_by_size(df: DataFrame, key: str, order: str, size: str, maximum: i
                 else:
                     filled += s
                 out.append(batch)
-            yield pdf.assign(batch=out)[[*at, "batch"]]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.int64())], names=schema.names)
 
-    return df.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, schema)
+    return df.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
 
 
 def frequency_codes(df: DataFrame, column: str) -> DataFrame:
@@ -90,6 +110,22 @@ def frequency_codes(df: DataFrame, column: str) -> DataFrame:
 
 
 def size_report(df: DataFrame, size: str) -> DataFrame:
-    """Number, sum, and five-number summary with the interquartile range."""
-    q = lambda p: F.percentile(size, F.lit(p))
-    return df.agg(F.count(size).alias("n"), F.sum(size).alias("total"), F.min(size).alias("min"), q(0.25).alias("q1"), q(0.5).alias("median"), q(0.75).alias("q3"), F.max(size).alias("max"), (q(0.75) - q(0.25)).alias("iqr"))
+    """Number, sum, and five-number summary with the interquartile range (interpolated, as by percentile()).
+
+    Values are counted, and running counts over their ranges tell which value
+    has a rank, so no task holds them all.
+    """
+    shares = {"q1": 0.25, "median": 0.5, "q3": 0.75}
+    counts = df.filter(F.col(size).isNotNull()).groupBy(F.col(size).alias("v")).agg(F.count("*").alias("c"))
+    placed = ranged(counts, ["v"])
+    inner = F.sum("c").over(W.partitionBy("_p").orderBy("_k"))
+    ends = placed.withColumn("_inner", inner).join(F.broadcast(_begins(placed, F.col("c"))), "_p").select("v", "c", (F.col("_begin") + F.col("_inner")).alias("end"))
+    whole = placed.agg(F.sum("c").alias("n"), F.sum(F.col("v") * F.col("c")).alias("total"), F.min("v").alias("min"), F.max("v").alias("max"))  # one row
+    at = lambda rank: F.max(F.when((F.col("end") - F.col("c") <= rank) & (rank < F.col("end")), F.col("v")))
+    rank = lambda p: (F.col("n") - 1) * p
+    found = ends.join(F.broadcast(whole)).groupBy("n", "total", "min", "max").agg(*[at(g(rank(p))).alias(f"{name}_{k}") for name, p in shares.items() for k, g in (("low", F.floor), ("high", F.ceil))])
+    value = {name: F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * (rank(p) - F.floor(rank(p))) for name, p in shares.items()}
+    columns = [F.col("n"), F.col("total"), F.col("min"), *[v.cast("double").alias(name) for name, v in value.items()], F.col("max"), (value["q3"] - value["q1"]).cast("double").alias("iqr")]
+    filled = found.select(*columns)
+    empty = df.agg(F.count(size).alias("_all"))  # one row, also for an empty table
+    return empty.join(F.broadcast(filled), F.col("n") == F.col("_all"), "left").select(F.col("_all").alias("n"), *filled.columns[1:])

@@ -6,54 +6,60 @@ has been reached is kept out by an anti-join, so cycles end.
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import cut as _cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Written to the shared checkpoint folder, so that rounds do not pile up a plan."""
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofact-"))
-    return df.checkpoint(eager=True)
+WIDTH = 16  # levels that are read one by one, before they are written as one table
+
+
+def _all(levels: list[DataFrame]) -> DataFrame:
+    if len(levels) > WIDTH:
+        levels[:] = [_cut(reduce(DataFrame.unionByName, levels))]
+    return reduce(DataFrame.unionByName, levels)
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """(root, node, depth) for all nodes below each root; roots: node; edges: parent, child."""
+    """(root, node, depth) for all nodes below each root; roots: node; edges: parent, child.
+
+    Each round writes its new nodes only.
+    """
     edges = _cut(edges.select("parent", "child").distinct())
-    frontier = roots.select(F.col("node").alias("root"), "node").distinct()
-    depth, out = 0, None
+    frontier, levels, depth = roots.select(F.col("node").alias("root"), "node").distinct(), [], 0
     while True:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["parent"]).select("root", F.col("child").alias("node")).distinct()
         step = step.filter(F.col("root") != F.col("node"))
-        if out is not None:
-            step = step.join(out.select("root", "node"), ["root", "node"], "left_anti")
+        if levels:
+            step = step.join(_all(levels).select("root", "node"), ["root", "node"], "left_anti")
         step = _cut(step.withColumn("depth", F.lit(depth)))
-        if out is not None and step.isEmpty():
-            return out
-        out = step if out is None else _cut(out.unionByName(step))
         if step.isEmpty():
-            return out
+            return _all(levels) if levels else step
+        levels.append(step)
         frontier = step.select("root", "node")
 
 
 def pre_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(node, path, depth) of trees; sorting by path visits parents before children.
 
-    Children of a node are visited in the order of edges.position.
+    Children of a node are visited in the order of edges.position. A node with
+    several parents is visited once for each way to it; an edge back to a node
+    on the way is not followed, so cycles end.
     """
-    level = roots.select("node", F.array(F.lit(0).cast("long")).alias("path"), F.lit(0).alias("depth"))
-    out = level = _cut(level)
+    level = roots.select("node", F.array(F.lit(0).cast("long")).alias("path"), F.lit(0).alias("depth"), F.array("node").alias("way"))
+    level = _cut(level)
+    levels = [level]
     while True:
+        steps = level.join(edges, level["node"] == edges["parent"]).filter(~F.array_contains("way", F.col("child")))
         level = _cut(
-            level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.concat("path", F.array(F.col("position").cast("long"))).alias("path"), (F.col("depth") + 1).alias("depth"))
+            steps.select(F.col("child").alias("node"), F.concat("path", F.array(F.col("position").cast("long"))).alias("path"), (F.col("depth") + 1).alias("depth"), F.concat("way", F.array("child")).alias("way"))
         )
         if level.isEmpty():
-            return out
-        out = _cut(out.unionByName(level))
+            return _all(levels).drop("way")
+        levels.append(level)
 
 
 def post_order(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -107,3 +113,50 @@ def novel_commits(commits: DataFrame, spark: SparkSession, common: str, ours: st
     base = reach.filter(F.col("root") == common).select("node")
     sides = F.when(F.col("root") == ours, "ours").otherwise("theirs")
     return reach.filter(F.col("root") != common).join(base, "node", "left_anti").select(sides.alias("side"), F.col("node").alias("hash"))
+
+
+def committed(commits: DataFrame, references: DataFrame, parents: list[str], statements: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """commits and references with one more commit on top of the named ones, the first of which moves to it.
+
+    commits: hash, parents, statements; references: name, hash. A first name
+    that is not known begins a root; other unknown names are an error.
+    """
+    spark = commits.sparkSession
+    known = {r["name"]: r["hash"] for r in references.filter(F.col("name").isin(parents)).collect()}  # the named ones
+    missing = [p for p in parents[1:] if p not in known]
+    if missing:
+        raise ValueError(f"unknown references {missing}")
+    kind = commits.schema["statements"].dataType.simpleString()
+    made = spark.createDataFrame([([known[p] for p in parents if p in known], statements)], f"parents array<string>, statements {kind}")
+    made = _cut(made.select(commit_hash(F.col("parents"), F.col("statements")).alias("hash"), "parents", "statements"))
+    moved = made.select(F.lit(parents[0]).alias("name"), "hash")
+    return commits.unionByName(made).dropDuplicates(["hash"]), references.filter(F.col("name") != parents[0]).unionByName(moved)
+
+
+def first_parents(commits: DataFrame, tip: str) -> DataFrame:
+    """(hash, place): the commits along first parents, from the oldest (0) to the tip."""
+    edges = commits.select(F.col("hash").alias("parent"), F.get("parents", F.lit(0)).alias("child")).filter("child is not null")
+    tips = commits.sparkSession.createDataFrame([(tip,)], "node string")
+    below = closure(edges, tips).select("node", "depth").unionByName(tips.withColumn("depth", F.lit(0)))
+    length = below.agg(F.max("depth").alias("length"))  # one row
+    return below.join(F.broadcast(length)).select(F.col("node").alias("hash"), (F.col("length") - F.col("depth")).alias("place"))
+
+
+def commit_log(commits: DataFrame, tip: str) -> DataFrame:
+    """(t, seq, op, e, a, v): the history of all commits that the tip has seen, parents before children.
+
+    t is a commit's level: no parent has a larger or an equal one. Commits of one level do not know each other.
+    """
+    tips = commits.sparkSession.createDataFrame([(tip,)], "hash string")
+    seen = ancestors(commits, tips).select(F.col("node").alias("hash"))
+    mine = commits.join(seen, "hash", "left_semi")
+    edges = mine.select(F.col("hash").alias("parent"), F.explode("parents").alias("child"))
+    levels = topological_levels(edges, mine.select(F.col("hash").alias("node"))).withColumnRenamed("node", "hash")
+    rows = mine.join(levels, "hash").select(F.col("level").cast("long").alias("t"), F.posexplode("statements").alias("seq", "s"))
+    return rows.select("t", "seq", "s.op", "s.e", "s.a", "s.v")
+
+
+def forks(commits: DataFrame) -> DataFrame:
+    """(hash, children): commits with several first children, each of which but one began a branch."""
+    firsts = commits.select(F.get("parents", F.lit(0)).alias("parent"), "hash").filter("parent is not null")
+    return firsts.groupBy(F.col("parent").alias("hash")).agg(F.count("*").alias("children")).filter("children > 1")

@@ -1,6 +1,7 @@
 """Patterns: terms aligned to an index's leading columns, compiled to column predicates.
 
-A term is a constant, a variable "?x", ANY or None (anything), or a Match. A
+A term is a constant, a variable "?x", ANY or None (anything), a Match, or a
+Constant, which wraps a value that would read as one of the others. A
 pattern may be shorter than the row. A variable that is repeated inside one
 pattern keeps its last occurrence and is no equality; strict=True makes it one.
 """
@@ -28,6 +29,13 @@ class Match:
     original: str | None = None
 
 
+@dataclass(frozen=True)
+class Constant:
+    """A value that is meant as it is, also one that begins with a question mark, or is "*" or null."""
+
+    value: Any
+
+
 def starts_with(prefix: str, key: str | None = None) -> Match:
     return Match(lambda c: c.startswith(prefix), key, prefix)
 
@@ -55,6 +63,10 @@ def is_constant(term: Any) -> bool:
     return not (is_anything(term) or is_variable(term) or isinstance(term, Match))
 
 
+def constant_value(term: Any) -> Any:
+    return term.value if isinstance(term, Constant) else term
+
+
 def variable_name(term: Any) -> str | None:
     """What the term binds, without its question mark."""
     if is_variable(term):
@@ -81,21 +93,22 @@ def has_trailing_conditions(pattern: list) -> bool:
 def constant_prefix(pattern: list) -> list:
     out = []
     for term in pattern:
-        if not is_constant(term):
+        if not is_constant(term) or constant_value(term) is None:
             break
-        out.append(term)
+        out.append(constant_value(term))
     return out
 
 
 def start_row(pattern: list) -> list:
     """Values from which the scan starts: constants and minimums, null where a column is free."""
-    return [t if is_constant(t) else t.minimum if isinstance(t, Match) else None for t in pattern]
+    return [constant_value(t) if is_constant(t) else t.minimum if isinstance(t, Match) else None for t in pattern]
 
 
 def term_matches(column: Column, term: Any) -> Column | None:
     """The term's predicate, or None if it has none."""
     if is_constant(term):
-        return column == F.lit(term)
+        value = constant_value(term)
+        return column.isNull() if value is None else column == F.lit(value)
     if isinstance(term, Match) and term.test is not None:
         return term.test(column)
     return None
@@ -164,7 +177,7 @@ def substitute(pattern: list, values: dict[str, Any]) -> list:
             value, test = values[n], t.test
             out.append(replace(t, test=lambda c, value=value, test=test: (c == F.lit(value)) & test(c)))
         else:
-            out.append(values[n])
+            out.append(Constant(values[n]))
     return out
 
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .reducers import with_index
+
 
 def triples_from_columns(df: DataFrame, id_col: str, multivalued: dict[str, str] | None = None, rename: dict[str, str] | None = None) -> DataFrame:
     """(e, a, v) with string values: one row for each non-null column; multivalued names a separator to split at."""
@@ -29,34 +28,36 @@ def shredded(df: DataFrame, id_col: str, op: str = "add") -> DataFrame:
     id and its path. Arrays of structs are sets: a triple for each element. A
     field named "<-a" points back: its record refers to this one by a.
     """
-    schema = df.schema
-    own = F.col(id_col).cast("string")
-    return _shred(df, schema, own, id_col).select(F.lit(op).alias("op"), "e", "a", "v").distinct()
-
-
-def _shred(df: DataFrame, schema: T.StructType, own, id_col: str) -> DataFrame:
-    out = []
-    for field in schema.fields:
-        if field.name == id_col:
-            continue
-        column, kind = F.col(f"`{field.name}`"), field.dataType
-        back = field.name.startswith("<-")
-        attribute = field.name[2:] if back else field.name
-        items = column if isinstance(kind, T.ArrayType) else F.array(column)
-        element = kind.elementType if isinstance(kind, T.ArrayType) else kind
-        rows = df.select(own.alias("_e"), F.posexplode(F.filter(items, lambda x: x.isNotNull())).alias("_at", "_v"))
-        if isinstance(element, T.StructType):
-            made = F.concat_ws("/", "_e", F.lit(attribute), F.col("_at").cast("string"))
-            ident = F.coalesce(F.col("_v")[id_col].cast("string"), made) if id_col in element.fieldNames() else made
-            inner = rows.select("_e", ident.alias("_id"), "_v.*")
-            e, v = ("_id", "_e") if back else ("_e", "_id")
-            out.append(inner.select(F.col(e).alias("e"), F.lit(attribute).alias("a"), F.col(v).alias("v")))
-            if set(element.fieldNames()) - {id_col}:
-                out.append(_shred(inner, element, F.col("_id"), id_col))
-        else:
-            e, v = (F.col("_v").cast("string"), F.col("_e")) if back else (F.col("_e"), F.col("_v").cast("string"))
-            out.append(rows.select(e.alias("e"), F.lit(attribute).alias("a"), v.alias("v")))
-    return reduce(DataFrame.unionByName, out)
+    record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    rows = df.select(F.explode(_triples(record, df.schema, F.col(f"`{id_col}`").cast("string"), id_col)).alias("p"))
+    return rows.select(F.lit(op).alias("op"), "p.e", "p.a", "p.v").distinct()
+
+
+def _triples(record: Column, schema: T.StructType, own: Column, id_col: str) -> Column:
+    """All triples of a record as one array, so that the record is read once."""
+    return F.concat(*[_field_triples(record, f, own, id_col) for f in schema.fields if f.name != id_col], F.array().cast("array<struct<e:string,a:string,v:string>>"))
+
+
+def _field_triples(record: Column, field: T.StructField, own: Column, id_col: str) -> Column:
+    kind, column = field.dataType, record.getField(field.name)
+    back = field.name.startswith("<-")
+    attribute = field.name[2:] if back else field.name
+    element = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    items = F.coalesce(column, F.array().cast(T.ArrayType(element))) if isinstance(kind, T.ArrayType) else F.array(column)
+    items = F.filter(items, lambda x: x.isNotNull())
+
+    def link(x: Column) -> Column:
+        e, v = (x, own) if back else (own, x)
+        return F.struct(e.alias("e"), F.lit(attribute).alias("a"), v.alias("v"))
+
+    def nested(x: Column, i: Column) -> Column:
+        made = F.concat_ws("/", own, F.lit(attribute), i.cast("string"))
+        ident = F.coalesce(x.getField(id_col).cast("string"), made) if id_col in element.fieldNames() else made
+        return F.concat(F.array(link(ident)), _triples(x, element, ident, id_col))
+
+    if isinstance(element, T.StructType):
+        return F.flatten(F.transform(items, nested))
+    return F.transform(items, lambda x: link(x.cast("string")))
 
 
 def is_temporary(c):
@@ -67,8 +68,8 @@ def temporary_ids(changes: DataFrame, next_id: int) -> DataFrame:
     """(tmp, id): dense numbers from next_id on, in the order of first appearance (seq, then e before v)."""
     seen = changes.select(F.explode(F.array(F.struct(F.col("seq"), F.lit(0).alias("at"), F.col("e").alias("x")), F.struct(F.col("seq"), F.lit(1).alias("at"), F.col("v").alias("x")))).alias("p"))
     first = seen.filter(is_temporary(F.col("p.x"))).groupBy(F.col("p.x").alias("tmp")).agg(F.min(F.struct("p.seq", "p.at")).alias("first"))
-    # ids must be dense in one order, so one task numbers the distinct temporary ids of a batch of changes
-    return first.select("tmp", (F.row_number().over(W.orderBy("first")) + (next_id - 1)).cast("string").alias("id"))
+    placed = with_index(first.select("tmp", "first.seq", "first.at"), ["seq", "at"], "place")
+    return placed.select("tmp", (F.col("place") + next_id).cast("string").alias("id"))
 
 
 def resolved(changes: DataFrame, resolution: DataFrame) -> DataFrame:
@@ -82,5 +83,5 @@ def resolved(changes: DataFrame, resolution: DataFrame) -> DataFrame:
 def first_seen_labels(df: DataFrame, column: str, order: str) -> DataFrame:
     """df with label: 0 for the value seen first, 1 for the next new one, and so on."""
     first = df.groupBy(column).agg(F.min(order).alias("_first"))
-    labels = first.select(column, (F.row_number().over(W.orderBy("_first", column)) - 1).alias("label"))
+    labels = with_index(first, ["_first", column], "label").drop("_first")
     return df.join(labels, column)

@@ -46,7 +46,8 @@ def expanded_sets(log: DataFrame) -> DataFrame:
     joined with all later sets.
     """
     op = F.when(F.col("op") == "remove", "remove").otherwise("add")
-    later = W.partitionBy("e", "a").orderBy("t").rangeBetween(1, W.unboundedFollowing)
+    # backwards, so that the frame only grows and each row costs the same
+    later = W.partitionBy("e", "a").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, -1)
     events = log.select("t", "e", "a", "v", op.alias("op"), F.min(F.when(F.col("op") == "set", F.col("t"))).over(later).alias("next"))
     live = (
         events.filter(F.col("next").isNotNull())
@@ -95,10 +96,26 @@ def entities(datoms: DataFrame, a, test, t: int | None = None) -> DataFrame:
 def set_values(log: DataFrame, t: int | None = None) -> DataFrame:
     """Values where a set replaces all before it: those of the last set transaction and after."""
     rows = as_of(log, t)
-    last = W.partitionBy("e", "a")
-    since = F.coalesce(F.max(F.when(F.col("op") == "set", F.col("t"))).over(last), F.lit(-1))
+    last = rows.filter(F.col("op") == "set").groupBy("e", "a").agg(F.max("t").alias("since"))
     op = F.when(F.col("op") == "remove", "remove").otherwise("add")
-    return folded(rows.withColumn("since", since).filter(F.col("t") >= F.col("since")).withColumn("op", op), PROPOSITION)
+    after = _beside(rows, last, ["e", "a"]).filter(F.col("since").isNull() | (F.col("t") >= F.col("since")))
+    return folded(after.withColumn("op", op), PROPOSITION)
+
+
+def last_set_value(log: DataFrame, t: int | None = None) -> DataFrame:
+    """(e, a, v): the value that the last statement on an attribute set; null if that was no set.
+
+    Within a transaction the last statement is the one with the largest seq.
+    """
+    last = as_of(log, t).groupBy("e", "a").agg(F.max_by(F.struct("op", "v"), F.struct("t", "seq")).alias("last"))
+    return last.select("e", "a", F.when(F.col("last.op") == "set", F.col("last.v")).alias("v"))
+
+
+def _beside(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with what an aggregate found for their keys; nulls are keys like others."""
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(named, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def attributes(state: DataFrame, e) -> DataFrame:
@@ -111,7 +128,7 @@ def referring_attributes(state: DataFrame, e) -> DataFrame:
 
 
 def entity_maps(state: DataFrame) -> DataFrame:
-    """(e, attributes): a map from each attribute to its sorted values."""
+    """(e, attributes): a map from each attribute to its sorted values; an entity's values are one row."""
     lists = state.groupBy("e", "a").agg(F.array_sort(F.collect_set("v")).alias("vs"))
     return lists.groupBy("e").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("a", "vs")))).alias("attributes"))
 
@@ -133,12 +150,13 @@ def squashed(log: DataFrame, t: int | None = None, strict: bool = False) -> Data
     before it on its entity and attribute.
     """
     rows = as_of(log, t).withColumn("pos", F.struct("t", "seq"))
-    by_ea, by_eav = W.partitionBy("e", "a"), W.partitionBy("e", "a", "v")
-    rows = rows.withColumn("p", F.max(F.when(F.col("op") == "set", F.struct("pos", "v"))).over(by_ea))
+    sets = rows.filter(F.col("op") == "set").groupBy("e", "a").agg(F.max(F.struct("pos", "v")).alias("p"))
+    rows = _beside(rows, sets, ["e", "a"])
     start = F.col("p").isNotNull() & (F.col("v") == F.col("p.v"))
     after = rows.withColumn("start", F.coalesce(start, F.lit(False))).filter(F.col("p").isNull() | (F.col("pos") > F.col("p.pos")) | ((F.col("pos") == F.col("p.pos")) & F.col("start")))
     after = after.filter((F.col("op") != "set") | F.col("start"))
-    marked = after.withColumn("q", F.max(F.when(F.col("op") == "add", F.col("pos"))).over(by_eav))
+    adds = after.filter(F.col("op") == "add").groupBy("e", "a", "v").agg(F.max("pos").alias("q"))
+    marked = _beside(after, adds, PROPOSITION)
     later = F.col("q").isNull() | (F.col("pos") > F.col("q"))
     removed = F.col("op") == "remove"
     groups = marked.groupBy("e", "a", "v").agg(

@@ -159,3 +159,52 @@ def find_index(values: Column, value: Column) -> Column:
 def contains_map(found: Column, wanted: dict) -> Column:
     """Whether a map has all the wanted entries."""
     return reduce(lambda a, b: a & b, [found[F.lit(k)].eqNullSafe(F.lit(v)) for k, v in wanted.items()], F.lit(True))
+
+
+def padded(values: Column, n: int, value: Column) -> Column:
+    """The first n elements, filled up with value."""
+    return F.slice(F.concat(values, F.array_repeat(value, n)), 1, n)
+
+
+def mapped_values(m: Column, function) -> Column:
+    """The map with function(value) in place of each value."""
+    return F.transform_values(m, lambda _, v: function(v))
+
+
+# Binary forms: dates in 4 bytes, numbers in little-endian groups of 7 bits.
+
+
+def date_bytes(date: Column) -> Column:
+    """Year in two bytes, month and day in one each, most significant first."""
+    return F.unhex(F.format_string("%04x%02x%02x", F.year(date), F.month(date), F.day(date)))
+
+
+def bytes_date(data: Column) -> Column:
+    h = F.hex(data)
+    part = lambda a, n: F.conv(F.substring(h, a, n), 16, 10).cast("int")
+    return F.make_date(part(1, 4), part(5, 2), part(7, 2))
+
+
+def leb128(number: Column) -> Column:
+    """Base-128 groups, least significant first, high bit set on all but the last, as hex."""
+    binary = F.bin(number)
+    groups = F.regexp_extract_all(F.lpad(binary, (F.ceil(F.length(binary) / 7) * 7).cast("int"), F.lit("0")), F.lit("[01]{7}"), F.lit(0))
+    marked = F.transform(F.reverse(groups), lambda g, i: F.concat(F.when(i < F.size(groups) - 1, "1").otherwise("0"), g))
+    return F.array_join(F.transform(marked, lambda g: F.lpad(F.lower(F.conv(g, 2, 16)), 2, "0")), "")
+
+
+def leb128_sequence(values: Column) -> Column:
+    """The number of values and each of them, as hex."""
+    return F.concat(leb128(F.size(values)), F.array_join(F.transform(values, leb128), ""))
+
+
+def leb128_values(text: Column) -> Column:
+    """The values of a sequence, from hex."""
+    numbers = F.regexp_extract_all(F.lower(text), F.lit("(?:[89a-f][0-9a-f])*[0-7][0-9a-f]"), F.lit(0))
+
+    def number(h: Column) -> Column:
+        bytes_ = F.reverse(F.regexp_extract_all(h, F.lit(".."), F.lit(0)))
+        bits = F.array_join(F.transform(bytes_, lambda b: F.substring(F.lpad(F.conv(b, 16, 2), 8, "0"), 2, 7)), "")
+        return F.conv(bits, 2, 10).cast("long")
+
+    return F.transform(F.slice(numbers, F.lit(2), F.greatest(F.size(numbers) - 1, F.lit(0))), number)

@@ -39,6 +39,20 @@ def keyword(c: Column) -> Column:
     return _value("keyword", id=F.when(c.contains("/"), 1).otherwise(0), str=c)
 
 
+def symbol(c: Column) -> Column:
+    """Like keywords, in a class of their own."""
+    return _value("symbol", id=F.when(c.contains("/"), 1).otherwise(0), str=c)
+
+
+def character(c: Column) -> Column:
+    return _value("character", str=c)
+
+
+def binary(c: Column) -> Column:
+    """Bytes compare as the sequence of their values."""
+    return _value("sequence", arr=F.regexp_extract_all(F.lower(F.hex(c)), F.lit(".."), F.lit(0)))
+
+
 def boolean(c: Column) -> Column:
     return _value("boolean", num=c.cast("int"))
 

@@ -24,7 +24,16 @@ View = Callable[[DataFrame], DataFrame]
 
 def full_text(state: DataFrame, text: str = "v") -> DataFrame:
     """(a, token, e)"""
-    return state.select("a", F.explode(F.array_distinct(tokenize(F.col(text)))).alias("token"), "e").distinct()
+    return _tokens(state, F.array_distinct(tokenize(F.col(text))))
+
+
+def full_text_search(state: DataFrame, test: Callable[[Column], Column], text: str = "v") -> DataFrame:
+    """full_text()'s rows whose token meets the test; other tokens are left out before they are exploded."""
+    return _tokens(state, F.array_distinct(F.filter(tokenize(F.col(text)), test)))
+
+
+def _tokens(state: DataFrame, tokens: Column) -> DataFrame:
+    return state.select("a", F.explode(tokens).alias("token"), "e").distinct()
 
 
 def sequence_members(state: DataFrame, sequence: str = "v") -> DataFrame:
@@ -107,8 +116,37 @@ def rule_delta(head: list[str], body: list[list], datoms: DataFrame, t: int) ->
 def caught_up(view: View, stored: DataFrame | None, datoms: DataFrame, by_entity: bool = True) -> DataFrame:
     """A materialised view's rows (with t, op), extended by the transactions after its last one."""
     last = -1 if stored is None else stored.agg(F.coalesce(F.max("t"), F.lit(-1))).first()[0]
-    news = sorted(r[0] for r in datoms.filter(F.col("t") > last).select("t").distinct().collect())  # one batch of transaction numbers
-    parts = [delta(view, datoms, t, by_entity).withColumn("t", F.lit(t).cast("long")) for t in news]
-    if stored is not None:
-        parts.insert(0, stored)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    news = changes_after(view, datoms, last, by_entity)
+    return news if stored is None else stored.unionByName(news.select(*stored.columns))
+
+
+def changes_after(view: View, datoms: DataFrame, last: int, by_entity: bool = True) -> DataFrame:
+    """The view's changes (its columns, op, t) at all transactions after last, in one plan.
+
+    An entity has a version for each transaction that touches it, and one as of
+    last. The view is evaluated over versions as if they were entities, and
+    neighbouring versions are compared. Without by_entity, when rows depend on
+    several entities, the changes of all transactions are one net change, under
+    the last one's number.
+    """
+    if not by_entity:
+        now = datoms.agg(F.max("t")).first()[0]
+        new, old = view(propositions(datoms)), view(propositions(datoms, last))
+        gone = old.subtract(new).withColumn("op", F.lit("remove"))
+        return new.subtract(old).withColumn("op", F.lit("add")).unionByName(gone).withColumn("t", F.lit(now).cast("long"))
+    touched = datoms.filter(F.col("t") > last).select("e", F.col("t").cast("long").alias("at")).distinct()
+    versions = touched.unionByName(touched.select("e").distinct().withColumn("at", F.lit(last).cast("long")))
+    nexts = versions.withColumn("next", F.lead("at").over(W.partitionBy("e").orderBy("at")))
+    # a proposition's last operation up to a version decides; operations are first folded by transaction
+    ops = datoms.groupBy("e", "a", "v", "t").agg(F.max("op").alias("op"))
+    spans = ops.withColumn("until", F.lead("t").over(W.partitionBy("e", "a", "v").orderBy("t"))).filter(F.col("op") == "add")
+    live = spans.join(nexts, "e").filter((F.col("t") <= F.col("at")) & (F.col("until").isNull() | (F.col("at") < F.col("until"))))
+    state = live.select(F.struct("e", "at", "next").alias("e"), "a", "v").distinct()
+    rows = view(state).distinct()
+    names = [c for c in rows.columns if c != "e"]
+    flat = rows.select(F.col("e.e").alias("e"), F.col("e.at").alias("at"), F.col("e.next").alias("next"), *names)
+    keys = ["e", *names]
+    here = flat.select(F.col("at").alias("t"), F.lit(1).alias("step"), *keys).filter(F.col("t") > last)
+    before = flat.filter(F.col("next").isNotNull()).select(F.col("next").alias("t"), F.lit(-1).alias("step"), *keys)
+    changed = here.unionByName(before).groupBy("t", *keys).agg(F.sum("step").alias("step")).filter("step <> 0")
+    return changed.select(*rows.columns, F.when(F.col("step") > 0, "add").otherwise("remove").alias("op"), "t")

@@ -8,9 +8,9 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import shred
+from ..operators import branch, shred
 from ..operators.index import Index
-from ..operators.temporal import expanded_sets, propositions
+from ..operators.temporal import expanded_sets, propositions, squashed
 
 LOG = "t long, seq int, op string, e string, a string, v string"
 
@@ -44,7 +44,10 @@ class Database:
         return Index(name, columns, view(self.state()))
 
     def transact(self, statements: list[tuple]) -> Database:
-        """statements: (op, e, a, v); a database value with one more transaction."""
+        """statements: (op, e, a, v); a database value with one more transaction.
+
+        For a few transactions in memory; Store keeps many on disk.
+        """
         if self.t is not None:
             raise ValueError("a pinned value can't be changed")
         t = self.last_transaction() + 1
@@ -64,5 +67,41 @@ class Database:
         return replace(self, log=self.log.unionByName(made.select(F.lit(t).cast("long").alias("t"), "seq", "op", "e", "a", "v"))), resolution
 
 
+@dataclass(frozen=True)
+class Overlay:
+    """Local transactions that are not committed yet, on top of a database (a client's view of a server).
+
+    Local numbers follow the base's pinned last one; others' transactions show after refresh().
+    """
+
+    base: Database
+    local: Database
+
+    def log(self) -> DataFrame:
+        return branch.merged(self.base.log, self.local.log, self.base.t)
+
+    def state(self) -> DataFrame:
+        return propositions(expanded_sets(self.log()))
+
+    def transact(self, statements: list[tuple]) -> Overlay:
+        return replace(self, local=self.local.transact(statements))
+
+    def statements(self) -> DataFrame:
+        """The net effect of the local transactions (op, e, a, v)."""
+        return squashed(self.local.log)
+
+    def refresh(self, base: Database) -> Overlay:
+        """The local transactions on top of a newer database."""
+        return replace(self, base=base.pinned())
+
+    def committed(self, base: Database) -> Database:
+        """base, as it is now, with the net effect as one more transaction."""
+        return replace(base, log=branch.squashed_commit(base.log, self.local.log), t=None)
+
+
+def overlaid(base: Database) -> Overlay:
+    return Overlay(base.pinned(), empty(base.log.sparkSession, base.views))
+
+
 def empty(spark: SparkSession, views: dict | None = None) -> Database:
     return Database(spark.createDataFrame([], LOG), views or {})

@@ -18,19 +18,31 @@ def append_json(rows: DataFrame, path: str) -> None:
 
 
 def read_json(spark: SparkSession, path: str, schema: str = SCHEMA) -> DataFrame:
-    """The valid prefix of a JSON-lines log: transactions before the first one with a broken line.
+    """The valid prefix of a JSON-lines log: whole transactions before the first one with a broken line, over all files.
 
-    A broken line has no t of its own; within a file, it counts for the
-    transaction of the last whole line before it.
+    A broken line's transaction is read from what is left of it. Where that
+    has no number, the line counts for the transaction of the last whole line
+    before it in its file, or of the first one after it; if its file has no
+    whole line, transactions after the first gap in t are dropped.
     """
     parsed = F.from_json("value", f"{schema}, {CORRUPT} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
     rows = lines.select(parsed.alias("r"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_at"))
     rows = rows.select("r.*", "_file", "_at")
-    broken = rows.filter(F.col(CORRUPT).isNotNull() | F.col("t").isNull()).groupBy("_file").agg(F.min("_at").alias("_stop"))
-    whole = rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
-    kept = whole.join(F.broadcast(broken), "_file", "left").filter(F.col("_stop").isNull() | (F.col("_at") < F.col("_stop")))  # a row for each broken file
-    return kept.drop("_file", "_at", "_stop")
+    whole = rows.filter(F.col(CORRUPT).isNull() & F.col("t").isNotNull())
+    left = F.regexp_extract(F.coalesce(CORRUPT, F.lit("")), r'"t"\s*:\s*(\d+)\s*,', 1)
+    broken = rows.filter(F.col(CORRUPT).isNotNull() | F.col("t").isNull()).select("_file", "_at", F.when(left != "", left.cast("long")).alias("own"))
+    broken = broken.groupBy("_file").agg(F.min(F.struct("_at", "own")).alias("first")).select("_file", "first._at", "first.own")
+    beside = broken.withColumnRenamed("_at", "_stop").join(whole.select("_file", "_at", "t"), "_file", "left")
+    before = F.max_by("t", F.when(F.col("_at") < F.col("_stop"), F.col("_at")))
+    torn = beside.groupBy("_file", "own").agg(F.coalesce("own", before, F.min("t")).alias("t"))
+    found = torn.agg(F.count("*").alias("n"), F.count("t").alias("n_known"), F.min("t").alias("t")).first()
+    kept = whole.drop(CORRUPT, "_file", "_at")
+    if found["n"] > found["n_known"]:
+        nexts = kept.select((F.col("t") + 1).alias("t")).distinct()
+        gap = nexts.join(kept.select("t").distinct(), "t", "left_anti").agg(F.min("t")).first()[0]
+        kept = kept.filter(F.col("t") < gap) if gap is not None else kept
+    return kept if found["t"] is None else kept.filter(F.col("t") < found["t"])
 
 
 def append(rows: DataFrame, path: str, bucket: int = 500) -> None:

@@ -1,9 +1,9 @@
 """Catch-up of stored views from a growing log, by Structured Streaming.
 
-A log folder is a stream; each micro-batch is appended to the datoms and the
-stored view moves to the batch's last transaction. The checkpoint of the query
-is the offset, and a transaction number guards against replays, so a batch that
-runs twice changes nothing.
+A log folder is a stream; each micro-batch is written to the datoms, and the
+view's changes in its transactions are added to the stored view. The checkpoint
+of the query is the offset, and both are written in a folder of the batch's own,
+so a batch that runs twice replaces what it wrote and changes nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources import log as logs
+from ..operators import views
+from ..operators.temporal import propositions
 
 
 def follow(spark: SparkSession, source: str, schema: str, apply: Callable[[DataFrame, int], None], checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -24,20 +25,31 @@ def follow(spark: SparkSession, source: str, schema: str, apply: Callable[[DataF
     return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
 
 
-def view_keeper(view: Callable[[DataFrame], DataFrame], datoms_path: str, view_path: str) -> Callable[[DataFrame, int], None]:
-    """A batch function: datoms are appended under their batch number, then a snapshot of the view is stored."""
+def view_keeper(view: Callable[[DataFrame], DataFrame], datoms_path: str, view_path: str, by_entity: bool = True) -> Callable[[DataFrame, int], None]:
+    """A batch function: datoms and the view's changes are written under their batch number.
+
+    by_entity is as for views.changes_after(): with it, entities that the batch does not touch are not evaluated.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{datoms_path}/batch={number}")
-        datoms = spark.read.parquet(datoms_path).drop("batch")
-        t = datoms.agg(F.max("t")).first()[0]
-        if t is not None:
-            logs.store_snapshot(view(datoms), view_path, t)
+        datoms = spark.read.parquet(datoms_path).filter(F.col("batch") <= number)
+        last = datoms.filter(F.col("batch") < number).agg(F.coalesce(F.max("t"), F.lit(-1))).first()[0]
+        datoms = datoms.drop("batch")
+        if by_entity:
+            datoms = datoms.join(datoms.filter(F.col("t") > last).select("e").distinct(), "e", "left_semi")
+        views.changes_after(view, datoms, last, by_entity).write.mode("overwrite").parquet(f"{view_path}/batch={number}")
 
     return apply
 
 
+def kept_view(spark: SparkSession, view_path: str, t: int | None = None) -> DataFrame:
+    """The view that view_keeper stores, as of t or now."""
+    stored = spark.read.parquet(view_path)
+    return propositions(stored, t, [c for c in stored.columns if c not in ("t", "op", "batch")])
+
+
 def running_counts(stream: DataFrame) -> DataFrame:
     """Adds less removes of each (a, v), as a streaming aggregation in update mode."""
     sign = F.when(F.col("op") == "remove", -1).otherwise(1)

@@ -7,6 +7,7 @@ others sets, the rest add. Dimension tables are relation indexes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,9 @@ from ..operators import patterns as P
 from ..operators import query as Q
 from ..operators import temporal as T
 from ..operators.index import Index
+from ..shared import shared_dir
+from ..sources import database, store
+from ..sources import log as logs
 
 N = 500  # a transaction number in the middle of the smallest log
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,8 +59,9 @@ def event_log(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-def event_datoms(spark: SparkSession, d: str) -> DataFrame:
-    return T.expanded_sets(event_log(spark, d))
+def event_datoms(spark: SparkSession, d: str, t: int | None = None) -> DataFrame:
+    """The datoms up to t, which depend on the log up to t only."""
+    return T.expanded_sets(T.as_of(event_log(spark, d), t))
 
 
 def plain_datoms(spark: SparkSession, d: str) -> DataFrame:
@@ -86,6 +91,19 @@ TRIPLES = """triples AS (SELECT CAST(c_custkey AS VARCHAR) AS e, unnest(['name',
 TOKENS = r"""list_filter(string_split(lower(regexp_replace(text, '[^\p{Latin}|0-9]', ' ', 'g')), ' '), lambda x: x <> '')"""
 
 
+def squash_sql(source: str) -> str:
+    """CTEs after which g has, for each triple of source, what its net effect depends on."""
+    return f"""p AS (SELECT *, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY e, a) AS sp FROM {source}),
+    q AS (SELECT *, max(CASE WHEN seq = sp THEN v END) OVER (PARTITION BY e, a) AS sv FROM p),
+    r AS (SELECT *, sp IS NOT NULL AND v = sv AS start FROM q WHERE sp IS NULL OR seq > sp OR (seq = sp AND v = sv)),
+    s AS (SELECT *, max(CASE WHEN op = 'add' THEN seq END) OVER (PARTITION BY e, a, v) AS la FROM r),
+    g AS (SELECT e, a, v, bool_or(start) AS st, bool_or(op = 'add') AS ad,
+        count(*) FILTER (op = 'remove' AND (la IS NULL OR seq > la)) AS k, count(*) FILTER (op = 'remove' AND seq < la) AS b FROM s GROUP BY e, a, v),
+    net AS (SELECT 'add' AS op, e, a, v FROM g WHERE ad AND k = 0
+    UNION ALL SELECT 'set', e, a, v FROM g WHERE st AND k = 0 AND (NOT ad OR b = 0)
+    UNION ALL SELECT 'remove', e, a, v FROM g WHERE ((ad OR st) AND k > 0 AND k % 2 = 0) OR (NOT (ad OR st) AND k % 2 = 1))"""
+
+
 def state_sql(n: int | None, source: str = "datoms") -> str:
     where = "" if n is None else f"WHERE t <= {n}"
     return f"(SELECT e, a, v FROM {source} {where} GROUP BY e, a, v HAVING arg_max(op, (t, op)) = 'add')"
@@ -229,7 +247,7 @@ def set_expansion(spark, d):
 
 @registered(f"WITH {DATOMS} SELECT * FROM {state_sql(N)}")
 def as_of_props(spark, d):
-    return T.propositions(event_datoms(spark, d), N)
+    return T.propositions(event_datoms(spark, d, N), N)
 
 
 @registered(f"WITH {DATOMS} SELECT * FROM {state_sql(None)}")
@@ -249,17 +267,17 @@ def current_value(spark, d):
 
 @registered(f"WITH {DATOMS} SELECT DISTINCT e FROM {state_sql(N)} WHERE a = 'click' AND v = 3")
 def entities_by_value(spark, d):
-    return T.entities(event_datoms(spark, d), "click", 3, N)
+    return T.entities(event_datoms(spark, d, N), "click", 3, N)
 
 
 @registered(f"WITH {DATOMS} SELECT t, op, e, a, v FROM datoms WHERE e = 7 AND t <= {N}")
 def history_for_entity(spark, d):
-    return T.history(event_datoms(spark, d), 7, t=N)
+    return T.history(event_datoms(spark, d, N), 7, t=N)
 
 
 @registered(f"WITH {DATOMS} SELECT t, op, e, a, v FROM datoms WHERE t BETWEEN 100 AND 200")
 def history_between(spark, d):
-    return T.between(event_datoms(spark, d), 100, 200)
+    return T.between(event_datoms(spark, d, 200), 100, 200)
 
 
 @registered(f"WITH {LOG}, s AS (SELECT *, coalesce(max(CASE WHEN op = 'set' THEN t END) OVER (PARTITION BY e, a), -1) AS since FROM log), k AS (SELECT t, CASE WHEN op = 'remove' THEN 'remove' ELSE 'add' END AS op, e, a, v FROM s WHERE t >= since) SELECT * FROM {state_sql(None, 'k')}")
@@ -272,17 +290,7 @@ def permuted_index(spark, d):
     return T.permuted(event_datoms(spark, d), "ave")
 
 
-@registered(
-    f"""WITH {LOG}, p AS (SELECT *, max(CASE WHEN op = 'set' THEN seq END) OVER (PARTITION BY e, a) AS sp FROM log),
-    q AS (SELECT *, max(CASE WHEN seq = sp THEN v END) OVER (PARTITION BY e, a) AS sv FROM p),
-    r AS (SELECT *, sp IS NOT NULL AND v = sv AS start FROM q WHERE sp IS NULL OR seq > sp OR (seq = sp AND v = sv)),
-    s AS (SELECT *, max(CASE WHEN op = 'add' THEN seq END) OVER (PARTITION BY e, a, v) AS la FROM r),
-    g AS (SELECT e, a, v, bool_or(start) AS st, bool_or(op = 'add') AS ad,
-        count(*) FILTER (op = 'remove' AND (la IS NULL OR seq > la)) AS k, count(*) FILTER (op = 'remove' AND seq < la) AS b FROM s GROUP BY e, a, v)
-    SELECT 'add' AS op, e, a, v FROM g WHERE ad AND k = 0
-    UNION ALL SELECT 'set', e, a, v FROM g WHERE st AND k = 0 AND (NOT ad OR b = 0)
-    UNION ALL SELECT 'remove', e, a, v FROM g WHERE ((ad OR st) AND k > 0 AND k % 2 = 0) OR (NOT (ad OR st) AND k % 2 = 1)"""
-)
+@registered(f"WITH {LOG}, {squash_sql('log')} SELECT op, e, a, v FROM net")
 def squash_net_effect(spark, d):
     return T.squashed(event_log(spark, d))
 
@@ -311,23 +319,9 @@ def full_text_state(spark, d):
 
 @registered(f"SELECT DISTINCT token, e FROM (SELECT unnest({TOKENS}) AS token, doc_id AS e FROM documents) WHERE starts_with(token, 'th')")
 def full_text_prefix_search(spark, d):
-    index = Index("full_text", ["a", "token", "e"], views.full_text(text_state(spark, d)))
-    return index.substitutions(["text", P.starts_with("th", "token"), "?e"])
-
-
-@registered(
-    f"""WITH d AS (SELECT doc_id AS e, doc_id % 3 AS rewritten, {TOKENS} AS ts FROM documents WHERE doc_id % 3 = 0), o AS (SELECT DISTINCT e, unnest(ts) AS token FROM d),
-    n AS (SELECT doc_id + 3 AS e, {TOKENS} AS ts FROM documents WHERE doc_id % 3 = 0), m AS (SELECT DISTINCT e, unnest(ts) AS token FROM n WHERE e IN (SELECT e FROM d))
-    SELECT 'text' AS a, token, e, 'add' AS op FROM (SELECT e, token FROM m EXCEPT SELECT e, token FROM o)
-    UNION ALL SELECT 'text', token, e, 'remove' FROM (SELECT e, token FROM o WHERE e IN (SELECT e FROM m) EXCEPT SELECT e, token FROM m)"""
-)
-def full_text_delta(spark, d):
-    """Transaction 1 gives every third document the text of the one three before it."""
-    docs = table(spark, d, "documents").filter("doc_id % 3 = 0").select("doc_id", "text")
-    base = docs.select(F.lit(0).cast("long").alias("t"), F.lit("add").alias("op"), F.col("doc_id").alias("e"), F.lit("text").alias("a"), F.col("text").alias("v"))
-    moved = docs.select((F.col("doc_id") + 3).alias("e"), "text").join(docs.select(F.col("doc_id").alias("e")), "e")
-    news = moved.select(F.lit(1).cast("long").alias("t"), F.lit("set").alias("op"), "e", F.lit("text").alias("a"), F.col("text").alias("v"))
-    return views.delta(views.full_text, T.expanded_sets(base.unionByName(news)), 1)
+    term = P.starts_with("th", "token")
+    index = Index("full_text", ["a", "token", "e"], views.full_text_search(text_state(spark, d), term.test))
+    return index.substitutions(["text", term, "?e"])
 
 
 @registered(
@@ -353,7 +347,7 @@ def sequence_members(spark, d):
 
 @registered(f"WITH {DATOMS}, s AS {state_sql(N)} SELECT DISTINCT x.v AS c1, y.v AS c2, e FROM (SELECT e, v FROM s WHERE a IN ('click', 'view')) x JOIN (SELECT e, v FROM s WHERE a = 'purchase') y USING (e)")
 def composite_cross(spark, d):
-    state = T.propositions(event_datoms(spark, d), N)
+    state = T.propositions(event_datoms(spark, d, N), N)
     return views.composite(state, [("c1", ["click", "view"], None), ("c2", ["purchase"], None)])
 
 
@@ -376,7 +370,7 @@ def rule_sql(n: int) -> str:
 
 @registered(f"WITH {DATOMS} SELECT * FROM {rule_sql(N)}")
 def rule_view_state(spark, d):
-    return views.rule(RULE_HEAD, RULE_BODY)(T.propositions(event_datoms(spark, d), N))
+    return views.rule(RULE_HEAD, RULE_BODY)(T.propositions(event_datoms(spark, d, N), N))
 
 
 EARLY = 20  # early, while a transaction still changes the rule's few rows
@@ -384,7 +378,7 @@ EARLY = 20  # early, while a transaction still changes the rule's few rows
 
 @registered(f"WITH {DATOMS} SELECT x, y, 'add' AS op FROM (SELECT * FROM {rule_sql(EARLY)} EXCEPT SELECT * FROM {rule_sql(EARLY - 1)}) UNION ALL SELECT x, y, 'remove' FROM (SELECT * FROM {rule_sql(EARLY - 1)} EXCEPT SELECT * FROM {rule_sql(EARLY)})")
 def rule_view_delta(spark, d):
-    return views.delta(views.rule(RULE_HEAD, RULE_BODY), event_datoms(spark, d), EARLY, by_entity=False)
+    return views.delta(views.rule(RULE_HEAD, RULE_BODY), event_datoms(spark, d, EARLY), EARLY, by_entity=False)
 
 
 # Branches
@@ -499,7 +493,13 @@ def frequency_codes(spark, d):
     return reducers.frequency_codes(table(spark, d, "customer"), "c_mktsegment")
 
 
-@registered(None)
+@registered(
+    """WITH RECURSIVE o AS (SELECT source, doc_id, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents),
+    r AS (SELECT source, doc_id, n_chars, k, CAST(0 AS BIGINT) AS batch, CAST(n_chars AS BIGINT) AS filled FROM o WHERE k = 1
+    UNION ALL SELECT o.source, o.doc_id, o.n_chars, o.k, CASE WHEN r.filled + o.n_chars > 100000 THEN r.batch + 1 ELSE r.batch END,
+        CASE WHEN r.filled + o.n_chars > 100000 THEN o.n_chars ELSE r.filled + o.n_chars END FROM r JOIN o ON o.source IS NOT DISTINCT FROM r.source AND o.k = r.k + 1)
+    SELECT source, doc_id, n_chars, batch FROM r"""
+)
 def partition_by_size(spark, d):
     rows = table(spark, d, "documents").select("source", "doc_id", "n_chars")
     return reducers.partition_by_size(rows, "source", "doc_id", "n_chars", 100_000)
@@ -539,3 +539,177 @@ def value_order(spark, d):
     each = [c.select(F.col("c_custkey").alias("id"), f.alias("v")) for f in (values.number(F.col("c_acctbal")), values.string(F.col("c_name")), values.null_value())]
     rows = each[0].unionByName(each[1]).unionByName(each[2])
     return reducers.with_index(rows, ["v", "id"], "place").select("id", F.col("v.k").cast("int").alias("k"), "place")
+
+
+# More reducers, scans and joins
+
+
+@registered("SELECT count(*) AS count FROM lineitem")
+def count_rows(spark, d):
+    return reducers.count_rows(table(spark, d, "lineitem"))
+
+
+@registered("SELECT min_by(value, event_id) AS value FROM events")
+def first_value(spark, d):
+    return reducers.first_value(table(spark, d, "events"), "value", "event_id")
+
+
+@registered("SELECT event_id, value FROM events WHERE value > 99 ORDER BY event_id LIMIT 1")
+def find_first(spark, d):
+    return reducers.find_first(table(spark, d, "events").select("event_id", "value"), F.col("value") > 99, "event_id")
+
+
+@registered("SELECT event_id, value FROM events WHERE event_id < coalesce((SELECT min(event_id) FROM events WHERE value >= 90), 9e18) UNION ALL SELECT * FROM (SELECT event_id, value FROM events WHERE event_id >= (SELECT min(event_id) FROM events WHERE value >= 90) ORDER BY event_id LIMIT 5)")
+def take_while_and_more(spark, d):
+    return reducers.take_while_and_more(table(spark, d, "events").select("event_id", "value"), F.col("value") < 90, "event_id", 5)
+
+
+@registered("SELECT 'gt' AS kind, min(o_totalprice) AS neighbour FROM orders WHERE o_totalprice > 1000 UNION ALL SELECT 'lt', max(o_totalprice) FROM orders WHERE o_totalprice < 1000 UNION ALL SELECT 'le', max(o_totalprice) FROM orders WHERE o_totalprice <= 1000")
+def nearest_neighbours(spark, d):
+    index = relation(spark, d, "orders", ["o_totalprice"])
+    rows = [index.neighbour(1000, kind).select(F.lit(kind).alias("kind"), "neighbour") for kind in ("gt", "lt", "le")]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@registered("SELECT n_nationkey AS n, n_name AS name, c_custkey AS c, s_suppkey AS s FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey")
+def merge_join_three(spark, d):
+    parts = [("nation", [("n", "n_nationkey"), ("name", "n_name")]), ("customer", [("n", "c_nationkey"), ("c", "c_custkey")]), ("supplier", [("n", "s_nationkey"), ("s", "s_suppkey")])]
+    return Q.merge_join([(Index(t, [n for n, _ in cs], table(spark, d, t).select(*[F.col(c).alias(n) for n, c in cs])), [f"?{n}" for n, _ in cs]) for t, cs in parts])
+
+
+# More of time, branches and commits
+
+
+@registered(f"WITH {LOG} SELECT e, a, CASE WHEN arg_max(op, seq) = 'set' THEN arg_max(v, seq) END AS v FROM log GROUP BY e, a")
+def last_set_value(spark, d):
+    return T.last_set_value(event_log(spark, d))
+
+
+UP, DOWN = f"t <= {N} AND seq % 2 = 0", "seq % 2 = 1"  # a log as two: a branch's base and its own transactions
+MERGED = LOG.replace("log AS", "whole AS", 1) + f", log AS (SELECT t, seq, op, e, a, v FROM whole WHERE {UP} UNION ALL SELECT t + {N} + 1, seq, op, e, a, v FROM whole WHERE {DOWN})"
+
+
+@registered(f"WITH {DATOMS.replace(LOG, MERGED)} SELECT * FROM {state_sql(None)}")
+def overlay_state(spark, d):
+    """A client's uncommitted transactions on a pinned database."""
+    log = event_log(spark, d)
+    base = database.Database(log.filter("seq % 2 = 0"), t=N)
+    return database.Overlay(base, database.Database(log.filter("seq % 2 = 1"))).state()
+
+
+@registered(f"WITH {LOG}, base AS (SELECT * FROM log WHERE {UP}), own AS (SELECT * FROM log WHERE {DOWN}), {squash_sql('own')} SELECT t, seq, op, e, a, v FROM base UNION ALL SELECT (SELECT max(t) FROM base) + 1, 0, op, e, a, v FROM net")
+def branch_commit(spark, d):
+    """The branch's net effect as one more transaction of its base."""
+    log = event_log(spark, d)
+    return branch.squashed_commit(log.filter(UP), log.filter(DOWN))
+
+
+@registered(f"WITH {DATOMS} SELECT * FROM {state_sql(None)}")
+def snapshot_and_tail(spark, d):
+    """A stored snapshot as of a transaction, and the log behind it."""
+    log, path = event_log(spark, d), f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    logs.store_snapshot(T.propositions(event_datoms(spark, d, N), N), path, N)
+    t, stored = logs.latest_snapshot(spark, path)
+    facts = stored.select(F.lit(t).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), F.lit("add").alias("op"), "e", "a", "v")
+    return T.propositions(T.expanded_sets(branch.with_tail(facts, t, log)))
+
+
+@registered(f"WITH {PLAIN} SELECT t, op, 'up' AS stream, e, a, v FROM plain WHERE {UP} UNION ALL SELECT t + {N} + 1, op, CASE WHEN e % 3 = 0 THEN 'up' ELSE 'down' END, e, a, v FROM plain WHERE {DOWN}")
+def merged_streams(spark, d):
+    """Ids are local to their stream unless they say where they are from."""
+    p = plain_datoms(spark, d)
+    named = lambda stream: F.struct(stream.cast("string").alias("stream_id"), F.col("e").alias("id"))
+    up = p.filter("seq % 2 = 0").withColumn("e", named(F.lit(None)))
+    down = p.filter("seq % 2 = 1").withColumn("e", named(F.when(F.col("e") % 3 == 0, "up")))
+    return branch.merged_streams(up, "up", down, "down", N, ["e"]).select("t", "op", F.col("e.stream_id").alias("stream"), F.col("e.id").alias("e"), "a", "v")
+
+
+@registered(f"WITH {LOG} SELECT t, CAST(seq AS INTEGER) AS seq, op, CAST(e AS VARCHAR) AS e, a, CAST(v AS VARCHAR) AS v FROM log WHERE t < {N}")
+def log_recovery(spark, d):
+    """A log of JSON lines, one of which was cut off."""
+    log, path = event_log(spark, d), f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    line = F.to_json(F.struct("t", F.col("seq").cast("int").alias("seq"), "op", F.col("e").cast("string").alias("e"), "a", F.col("v").cast("string").alias("v")))
+    lines = log.repartitionByRange("seq").sortWithinPartitions("seq")
+    lines.select(F.when(F.col("seq") == 10 * N + 5, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
+    return logs.read_json(spark, path)
+
+
+@registered(f"WITH {DATOMS} SELECT DISTINCT v, e FROM {state_sql(None)} WHERE a = 'purchase'")
+def stored_view(spark, d):
+    """A view that is stored and kept up with its log in two steps."""
+    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    log = event_log(spark, d)
+    logs.append(log.select("t", F.col("seq").cast("int").alias("seq"), "op", "e", "a", "v"), f"{path}/log")
+    kept = store.Store(spark, path, {"bought": (["v", "e"], lambda s: s.filter("a = 'purchase'").select("v", "e"), True)})
+    kept.catch_up("bought", N)
+    kept.catch_up("bought")
+    return kept.view("bought")
+
+
+def nation_commits(spark, d):
+    """A commit for each nation, on top of the one at half its number."""
+    n = F.col("n_nationkey").cast("int")
+    name = lambda c: F.concat(F.lit("n"), c.cast("string"))
+    parents = F.when(n > 0, F.array(name(F.floor((n - 1) / 2)))).otherwise(F.array().cast("array<string>"))
+    statement = lambda op, e: F.struct(F.lit(op).alias("op"), e.alias("e"), F.lit("name").alias("a"), F.col("n_name").alias("v"))
+    return table(spark, d, "nation").select(name(n).alias("hash"), parents.alias("parents"), F.array(statement("add", name(n)), statement("set", F.lit("latest"))).alias("statements"))
+
+
+HEAP = "up(tip, n, depth) AS (SELECT n_nationkey, n_nationkey, 0 FROM nation UNION ALL SELECT tip, (n - 1) // 2, depth + 1 FROM up WHERE n > 0)"
+
+
+@registered(f"WITH RECURSIVE {HEAP} SELECT CASE tip WHEN 15 THEN 'ours' ELSE 'theirs' END AS side, 'n' || n AS hash FROM up WHERE tip IN (15, 20) AND n NOT IN (SELECT n FROM up WHERE tip = 1)")
+def novel_commits(spark, d):
+    return graph.novel_commits(nation_commits(spark, d), spark, "n1", "n15", "n20")
+
+
+@registered(f"WITH RECURSIVE {HEAP}, seen AS (SELECT n, CAST(max(depth) OVER () - depth AS BIGINT) AS t FROM up WHERE tip = 24) SELECT t, s AS seq, CASE s WHEN 0 THEN 'add' ELSE 'set' END AS op, CASE s WHEN 0 THEN 'n' || n ELSE 'latest' END AS e, 'name' AS a, n_name AS v FROM seen JOIN nation ON n_nationkey = n, (VALUES (0), (1)) x(s)")
+def commit_log(spark, d):
+    return graph.commit_log(nation_commits(spark, d).select("hash", "parents", "statements"), "n24")
+
+
+@registered(f"WITH RECURSIVE {HEAP} SELECT 'n' || n AS hash, max(depth) OVER () - depth AS place FROM up WHERE tip = 22")
+def first_parents(spark, d):
+    return graph.first_parents(nation_commits(spark, d), "n22")
+
+
+@registered(f"WITH {TREE}, n AS (SELECT 'n' || n_nationkey AS node, 'r' || n_regionkey AS up, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer) THEN 1 ELSE 0 END AS level FROM nation) SELECT node, level FROM n UNION ALL SELECT 'c' || c_custkey, 0 FROM customer UNION ALL SELECT 'r' || r_regionkey, coalesce((SELECT max(level) + 1 FROM n WHERE up = 'r' || r_regionkey), 0) FROM region")
+def topological_levels(spark, d):
+    edges = tree_triples(spark, d).select(F.col("e").alias("parent"), F.col("v").alias("child"))
+    regions = table(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("node"))
+    return graph.topological_levels(edges, regions.unionByName(edges.select(F.col("child").alias("node"))))
+
+
+ELEMENTS = "list_transform(embedding, lambda x: CAST(floor(x * 10) AS BIGINT))"
+
+
+@registered(
+    f"""WITH o AS (SELECT DISTINCT vec_id AS e, unnest({ELEMENTS}) AS element FROM embeddings), m AS (SELECT DISTINCT e + 1 AS e, element FROM o WHERE e + 1 IN (SELECT vec_id FROM embeddings)), moved AS (SELECT vec_id + 1 AS e FROM embeddings)
+    SELECT element, 'embedding' AS a, e, 'add' AS op FROM (SELECT e, element FROM m EXCEPT SELECT e, element FROM o)
+    UNION ALL SELECT element, 'embedding', e, 'remove' FROM (SELECT e, element FROM o WHERE e IN (SELECT e FROM moved) EXCEPT SELECT e, element FROM m)"""
+)
+def sequence_delta(spark, d):
+    """Transaction 1 gives every vector the elements of the one before it."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.floor(x * F.lit(10)).cast("long")).alias("v"))
+    base = rows.select(F.lit(0).cast("long").alias("t"), F.lit("add").alias("op"), F.col("vec_id").alias("e"), F.lit("embedding").alias("a"), "v")
+    moved = rows.select((F.col("vec_id") + 1).alias("e"), "v").join(rows.select(F.col("vec_id").alias("e")), "e")
+    news = moved.select(F.lit(1).cast("long").alias("t"), F.lit("set").alias("op"), "e", F.lit("embedding").alias("a"), "v")
+    return views.delta(views.sequence_members, T.expanded_sets(base.unionByName(news)), 1)
+
+
+@registered("SELECT CAST(p_partkey AS VARCHAR) AS e, 'word' AS a, unnest(string_split(p_name, ' ')) AS v FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'p_brand', p_brand FROM part")
+def shred_multivalued(spark, d):
+    parts = table(spark, d, "part").select("p_partkey", "p_name", "p_brand")
+    return shred.triples_from_columns(parts, "p_partkey", multivalued={"p_name": " "}, rename={"p_name": "word"})
+
+
+@registered("SELECT c_custkey AS k, lower(to_hex(2000 + c_nationkey)) AS year_hex, list_resize([c_nationkey, c_custkey], 3, 0) AS three, to_hex(c_custkey % 128) AS low FROM customer")
+def binary_forms(spark, d):
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    date = F.make_date(F.lit(2000) + nation, F.lit(5), F.lit(7))
+    return table(spark, d, "customer").select(
+        key.alias("k"),
+        F.lower(F.ltrim(F.substring(F.hex(scalars.date_bytes(date)), 1, 4), F.lit("0"))).alias("year_hex"),
+        scalars.padded(F.array(nation, key), 3, F.lit(0).cast("long")).alias("three"),
+        F.hex(scalars.leb128_values(scalars.leb128_sequence(F.array(key % 128)))[0]).alias("low"),
+    )

@@ -132,3 +132,11 @@ def test_filters_reach_the_scan(spark, rows3, tmp_path):
     assert "EqualTo(c1,2)" in plan and "c3" not in plan.split("ReadSchema")[1]
     bound = stored.scan([2])._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(c1,2)" in bound
+
+
+def test_values_that_look_like_variables(spark):
+    df = spark.createDataFrame([("?x", 1), ("*", 2), ("y", 3), (None, 4)], "a string, n int")
+    index = Index("i", ["a", "n"], df)
+    for value, n in (("?x", 1), ("*", 2), (None, 4)):
+        assert [r.n for r in index.substitutions([P.Constant(value), "?n"]).collect()] == [n]
+    assert [r.n for r in index.substitutions(P.substitute(["?a", "?n"], {"a": "?x"})).collect()] == [1]

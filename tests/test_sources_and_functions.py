@@ -1,6 +1,7 @@
 """Files, snapshots, streams, databases, scalar functions and value order."""
 
 import json
+import random
 import time
 
 import pytest
@@ -8,9 +9,10 @@ from pyspark.sql import functions as F
 
 from chronofact.functions import scalars, values
 from chronofact.operators import views
+from chronofact.operators.index import Index
 from chronofact.operators.temporal import propositions
-from chronofact.plans import planning
-from chronofact.sources import blobs, database, log, text
+from chronofact.plans import costs, planning
+from chronofact.sources import blobs, database, log, store, text
 from chronofact.streaming import catchup
 
 LOG = "t long, seq int, op string, e string, a string, v string"
@@ -27,6 +29,76 @@ def test_broken_json_log_gives_its_whole_prefix(spark, tmp_path):
     assert [r.t for r in log.read_json(spark, str(tmp_path)).orderBy("t").collect()] == [0, 1]
 
 
+def test_recovery_is_of_whole_transactions_over_all_files(spark, tmp_path):
+    line = lambda t, seq: json.dumps({"t": t, "seq": seq, "op": "add", "e": "1", "a": "b", "v": str(seq)})
+    (tmp_path / "0.json").write_text("\n".join([line(0, 0), line(1, 0), line(1, 1)]) + "\n")
+    (tmp_path / "1.json").write_text("\n".join([line(2, 0), line(3, 0), line(3, 1)[:9]]) + "\n")
+    (tmp_path / "2.json").write_text("\n".join([line(4, 0), line(5, 0)]) + "\n")
+    found = lambda: sorted((r.t, r.seq) for r in log.read_json(spark, str(tmp_path)).collect())
+    assert found() == [(0, 0), (1, 0), (1, 1), (2, 0)]
+    (tmp_path / "1.json").write_text("\n".join([line(2, 0)[:5], line(3, 0), line(3, 1)]) + "\n")
+    assert found() == [(0, 0), (1, 0), (1, 1)]
+    (tmp_path / "1.json").write_text(line(2, 0)[:5] + "\n")
+    assert found() == [(0, 0), (1, 0), (1, 1)]
+    (tmp_path / "1.json").write_text("\n".join([line(2, 0), line(3, 0)]) + "\n")
+    assert found()[-1] == (5, 0)
+    (tmp_path / "2.json").write_text("\n".join([line(4, 0), line(5, 0), line(5, 1)[:4]]) + "\n")
+    assert found()[-1] == (4, 0)
+
+
+def test_store(spark, tmp_path):
+    """A thousand transactions, views kept up in steps, and the same after reopening."""
+    rng = random.Random(1)
+    kinds = {"words": (["a", "token", "e"], views.full_text, True), "all": (["v"], lambda s: s.select("v").distinct(), False)}
+    kept = store.Store(spark, str(tmp_path / "db"), kinds)
+    statements = [[(rng.choice(["add", "add", "set", "remove"]), rng.choice("pqrst"), "name", f"w{rng.randrange(9)} x{rng.randrange(9)}")] for _ in range(1000)]
+    assert kept.transact(*statements[:400]) == 399 and kept.catch_up("words") == 399 and kept.catch_up("all") == 399
+    assert kept.transact(*statements[400:]) == 999
+    kept = store.Store(spark, str(tmp_path / "db"), kinds)
+    assert kept.last_transaction() == 999 and kept.catch_up("words") == 999 and kept.catch_up("words") == 999 and kept.catch_up("all") == 999
+    for t in (None, 399, 700):
+        whole = {tuple(r) for r in views.full_text(kept.state(t)).collect()}
+        assert {tuple(r) for r in kept.view("words", t).select("a", "token", "e").collect()} == whole
+    assert {r.v for r in kept.view("all").collect()} == {r.v for r in kept.state().collect()}
+    assert {tuple(r) for r in kept.database().index("words").df.collect()} == {tuple(r) for r in kept.view("words").select("a", "token", "e").collect()}
+    last = kept.append(spark.createDataFrame([("set", "p", "name", "end")], "op string, e string, a string, v string"))
+    assert last == 1000 and [r.v for r in kept.state().filter("e = 'p'").collect()] == ["end"]
+    with pytest.raises(KeyError):
+        store.Store(spark, str(tmp_path / "none"), kinds).view("words")
+
+
+def test_objects_and_counters(spark, tmp_path):
+    objects = store.Objects(spark, str(tmp_path / "o"))
+    assert objects.keys() == [] and objects.get("a/b") is None
+    objects.put("a/b", bytes(range(256)))
+    objects.put_json("x", {"k": [1, "é"]})
+    assert objects.get("a/b") == bytes(range(256)) and objects.get_json("x") == {"k": [1, "é"]} and objects.keys() == ["a/b", "x"]
+    assert objects.remove("x") and objects.get_json("x") is None
+    counter = store.Counter(objects, "n")
+    assert (counter.add(), counter.add(5)) == (1, 6) and store.Counter(objects, "n").value == 6
+
+
+def test_overlay(spark):
+    base = database.empty(spark).transact([("add", "1", "name", "a")])
+    mine = database.overlaid(base).transact([("add", "1", "name", "b"), ("remove", "1", "name", "a")]).transact([("remove", "1", "name", "b"), ("add", "1", "name", "c")])
+    named = lambda d: {r.v for r in d.state().collect()}
+    assert named(mine) == {"c"} and named(base) == {"a"}
+    assert {(r.op, r.v) for r in mine.statements().collect()} == {("remove", "a"), ("add", "c")}
+    newer = base.transact([("add", "2", "name", "other")])
+    assert named(mine) == {"c"} and named(mine.refresh(newer)) == {"c", "other"}
+    done = mine.committed(newer)
+    assert named(done) == {"c", "other"} and done.last_transaction() == 2
+
+
+def test_scanned_rows(spark, tmp_path):
+    rows = spark.range(10_000).select(F.col("id").alias("a"), (F.col("id") % 7).alias("b"))
+    Index("i", ["a", "b"], rows).stored(str(tmp_path / "i"), 20)
+    index = Index("i", ["a", "b"], spark.read.parquet(str(tmp_path / "i")))
+    assert costs.scanned_rows(index.substitutions(["?a", "?b"])) == 10_000
+    assert costs.scanned_rows(index.substitutions([5000, "?b"])) <= 1000  # by statistics, one part of the range
+    assert costs.scanned_rows(index.substitutions(["?a", 3])) == 10_000  # a condition behind a free column reads all
+
+
 def test_parquet_log(spark, tmp_path):
     path = str(tmp_path / "log")
     df = spark.createDataFrame([(t, 0, "add", "1", "a", str(t)) for t in range(1200)], LOG)
@@ -89,7 +161,7 @@ def test_database(spark):
 
 def test_streaming_catch_up(spark, tmp_path):
     source, datoms, stored = (str(tmp_path / n) for n in ("log", "datoms", "view"))
-    keeper = catchup.view_keeper(propositions, datoms, stored)
+    keeper = catchup.view_keeper(lambda state: state, datoms, stored)
 
     def catch_up():
         q = catchup.follow(spark, source, LOG, keeper, str(tmp_path / "ck"))
@@ -99,8 +171,10 @@ def test_streaming_catch_up(spark, tmp_path):
     catch_up()
     spark.createDataFrame([(1, 0, "remove", "1", "a", "x"), (1, 1, "add", "1", "a", "y")], LOG).write.mode("append").parquet(source)
     catch_up()
-    t, view = log.latest_snapshot(spark, stored)
-    assert t == 1 and [tuple(r) for r in view.collect()] == [("1", "a", "y")]
+    assert [tuple(r) for r in catchup.kept_view(spark, stored).collect()] == [("1", "a", "y")]
+    assert [tuple(r) for r in catchup.kept_view(spark, stored, 0).collect()] == [("1", "a", "x")]
+    keeper(spark.createDataFrame([(1, 0, "remove", "1", "a", "x"), (1, 1, "add", "1", "a", "y")], LOG), 1)  # a replay
+    assert [tuple(r) for r in catchup.kept_view(spark, stored).collect()] == [("1", "a", "y")] and spark.read.parquet(stored).count() == 3
     df, seen = catchup.observed(spark.range(5), "five")
     df.collect()
     assert seen.get["rows"] == 5
@@ -142,6 +216,13 @@ def test_scalars(spark):
     assert f(scalars.find_index(F.array(F.lit("a"), F.lit("b")), F.lit("b"))) == 1
     assert f(scalars.digit_count(F.lit(255), 16)) == 2 and f(scalars.bit_count(F.lit(255))) == 8
     assert f(scalars.contains_map(F.create_map(F.lit("a"), F.lit(1)), {"a": 1})) is True
+    assert f(scalars.padded(F.array(F.lit(1)), 3, F.lit(0))) == [1, 0, 0] and f(scalars.padded(F.array(*map(F.lit, range(5))), 3, F.lit(0))) == [0, 1, 2]
+    assert f(scalars.mapped_values(F.create_map(F.lit("a"), F.lit(1)), lambda v: v + 1)) == {"a": 2}
+    date = F.make_date(F.lit(2024), F.lit(2), F.lit(29))
+    assert bytes(f(scalars.date_bytes(date))) == bytes([7, 232, 2, 29]) and str(f(scalars.bytes_date(scalars.date_bytes(date)))) == "2024-02-29"
+    assert f(scalars.leb128(F.lit(300))) == "ac02" and f(scalars.leb128(F.lit(0))) == "00"
+    numbers = [0, 5, 127, 128, 300, 2**40]
+    assert f(scalars.leb128_values(scalars.leb128_sequence(F.array(*map(F.lit, numbers))))) == numbers
 
 
 def test_value_order(spark):

@@ -240,3 +240,88 @@ def test_reducers(spark):
     assert [r[0] for r in reducers.take_while_and_more(n, F.col("id") < 3, "id", 2).orderBy("id").collect()] == [0, 1, 2, 3, 4]
     assert reducers.find_first(n, F.col("id") > 7, "id").first()[0] == 8
     assert reducers.first_value(n, "id", "id").first()[0] == 0 and reducers.count_rows(n).first()[0] == 50
+
+
+def test_index_of_many_wide_rows(spark):
+    """Counts and places are those of the rows as they were written, however partitions are planned."""
+    wide = spark.range(3_000_000).select((F.col("id") * 7919 % 3_000_017).alias("id"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4m")
+    try:
+        out = reducers.with_index(wide, ["id"]).select("id", "index").cache()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert out.agg(F.count("*"), F.countDistinct("index"), F.min("index"), F.max("index")).first() == (3_000_000, 3_000_000, 0, 2_999_999)
+    ids = wide.select("id").orderBy("id").limit(200_000).agg(F.max("id")).first()[0]
+    assert out.filter("index < 200000").agg(F.max("id"), F.count("*")).first() == (ids, 200_000)
+    assert out.selectExpr("id", "index").filter("index % 100000 = 0").orderBy("index").agg(F.count("*")).first()[0] == 30
+    out.unpersist()
+
+
+def test_one_attribute_with_very_many_events(spark):
+    import time
+
+    n = 200_000
+    log = spark.range(n).select(F.col("id").alias("t"), F.when(F.col("id") % 50 == 0, "set").when(F.col("id") % 3 == 0, "remove").otherwise("add").alias("op"), F.lit(1).alias("e"), F.lit("a").alias("a"), (F.col("id") % 10).alias("v"))
+    begun = time.time()
+    datoms = T.expanded_sets(log)
+    assert datoms.filter("op = 'add'").count() == n - len([i for i in range(n) if i % 50 and i % 3 == 0])
+    assert time.time() - begun < 60
+
+
+def test_last_set_value(spark):
+    log = log_of(spark, [(0, "set", "x", "name", "foo"), (1, "set", "x", "name", "bar"), (0, "set", "y", "name", "a"), (1, "add", "y", "name", "b"), (0, "set", "z", "name", "c"), (2, "remove", "z", "name", "c")])
+    assert {(r.e, r.v) for r in T.last_set_value(log).collect()} == {("x", "bar"), ("y", None), ("z", None)}
+    assert {(r.e, r.v) for r in T.last_set_value(log, 0).collect()} == {("x", "foo"), ("y", "a"), ("z", "c")}
+
+
+def test_cycles_end(spark):
+    edges = spark.createDataFrame([("a", "b", 0), ("b", "c", 0), ("c", "a", 0), ("b", "d", 1), ("d", "d", 0)], "parent string, child string, position int")
+    roots = spark.createDataFrame([("a",)], "node string")
+    assert [r.node for r in graph.pre_order(edges, roots).orderBy("path").collect()] == ["a", "b", "c", "d"]
+    assert rows(graph.closure(edges, roots), "node", "depth") == [("b", 1), ("c", 2), ("d", 2)]
+
+
+def test_long_chains_are_closed(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "parent long, child long")
+    assert rows(graph.closure(edges, spark.createDataFrame([(0,)], "node long")), "node", "depth") == [(k, k) for k in range(1, 41)]
+
+
+def test_commits_over_references(spark):
+    schema = "hash string, parents array<string>, statements array<struct<op:string,e:string,a:string,v:string>>"
+    commits, refs = spark.createDataFrame([], schema), spark.createDataFrame([], "name string, hash string")
+    friends = lambda name: {r.v for r in T.propositions(T.expanded_sets(graph.commit_log(commits, refs.filter(F.col("name") == name).first()["hash"]))).collect()}
+    for op, v, name in (("add", "1", "master"), ("add", "2", "master")):
+        commits, refs = graph.committed(commits, refs, [name], [(op, "p", "friend", v)])
+    commits, refs = graph.committed(commits, refs, ["other", "master"], [("add", "p", "friend", "3")])
+    commits, refs = graph.committed(commits, refs, ["master"], [("remove", "p", "friend", "1")])
+    assert friends("master") == {"2"} and friends("other") == {"1", "2", "3"}
+    commits, refs = graph.committed(commits, refs, ["master", "other"], [("add", "p", "friend", "4")])
+    assert friends("master") == {"2", "3", "4"}
+    tip = refs.filter("name = 'master'").first()["hash"]
+    assert graph.first_parents(commits, tip).agg(F.max("place")).first()[0] == 3
+    assert [r.children for r in graph.forks(commits).collect()] == [2]
+    with pytest.raises(ValueError):
+        graph.committed(commits, refs, ["master", "unknown"], [])
+
+
+def test_size_report(spark):
+    values = [5, 1, 9, 9, 2, 7, None, 3]
+    df = spark.createDataFrame([(v,) for v in values], "size long")
+    q = df.selectExpr("percentile(size, array(0.25, 0.5, 0.75))").first()[0]
+    assert reducers.size_report(df, "size").first() == (7, 36, 1, *q, 9, q[2] - q[0])
+    assert reducers.size_report(df.limit(0), "size").first()[0] == 0
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_changes_of_many_transactions_are_those_of_each(spark, seed):
+    statements = random_log(random.Random(70 + seed), 30)
+    datoms = T.expanded_sets(log_of(spark, statements)).cache()
+    view = lambda s: views.composite(s, [("x", ["a"], None), ("y", ["b"], None)])
+    numbers = sorted({s[0] for s in statements})
+    each = []
+    for t in [n for n in numbers if n > 2]:
+        each += [(*r, t) for r in rows(views.delta(view, datoms, t))]
+    assert rows(views.changes_after(view, datoms, 2)) == sorted(each)
+    net = views.changes_after(view, datoms, 2, by_entity=False)
+    before, after = ({tuple(r) for r in view(T.propositions(datoms, t)).collect()} for t in (2, None))
+    assert {(*r[:3], r.op) for r in net.collect()} == {(*r, "add") for r in after - before} | {(*r, "remove") for r in before - after}

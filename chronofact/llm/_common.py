@@ -72,6 +72,11 @@ class Scratch:
         self.paths[id(out)] = (path, out)
         return out
 
+    def move(self, df: DataFrame, to: DataFrame) -> None:
+        """to, which reads df's table, is what drop() takes from now on."""
+        path, _ = self.paths.pop(id(df))
+        self.paths[id(to)] = (path, to)
+
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
             path, _ = self.paths.pop(id(df))

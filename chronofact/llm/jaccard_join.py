@@ -14,17 +14,23 @@ fragments; a document's n-gram set falls into one segment for each fragment.
    the first D + L - c + 1 suffice by the prefix principle. Segments that occur
    once fill the prefixes of unlike documents, which are then out, and L leaves
    room to pass over hot ones. So hot passages and lines make no candidates.
+   Of long texts the first MOST segments are enough: fragments are dealt by
+   hash, each of them differs with probability 0.54 at most, so that fewer than
+   SURE of MOST agree is as rare as a clash of 64-bit hashes (1 in 10**20).
 3. Overlaps. A candidate pair's overlap is counted apart in each coarse
    fragment of the order, and the counts are summed for each pair.
-4. Links. First the members of a segment are compared with one leader only, a
-   few times with other leaders, and components are formed; then all pairs that
-   share a segment and are still in different components are compared, unless
-   the parity of their n-gram bits already shows too many differences. So a
-   large group of near copies costs about its size, yet no component loses a
-   link.
-
-Should some set fill fewer fragments than D + L (then this does not hold), the
-keys are made again with single n-grams up to that set's size.
+4. Links. In rounds, the members of a segment are compared with one leader only,
+   another one each time, and components are formed; segments whose members are
+   all in one component go. When comparing all pairs that are still apart costs
+   no more than reading the segments a few times, or leaders leave most of these
+   pairs apart, the last round does that: members outside a segment's largest component are
+   compared with the rest. Pairs whose n-gram bits have too many odd differences
+   are never compared. So a large group of near copies costs about its size,
+   yet no component loses a link. Segments with the same members count once.
+
+Few sets fill fewer fragments than D + L (under one in 10**9), and then 2. does
+not hold. Sets of these sizes, and of those that partners may have, get single
+n-grams as further segments of their own kind, so their links are found too.
 
 Cases: a null or wordless text has an empty set and no links; a text with fewer
 words than n has its whole word sequence as one n-gram. Rows with a null id are
@@ -50,11 +56,14 @@ from ._text import mix, slices, word_hashes
 from .components import connected
 
 SMALL = 6  # sets of under 2**SMALL n-grams use single n-grams as segments
+SPREAD = 1.6  # fragments for each n-gram that two sets of a class may differ in
+MOST, SURE = 200, 32
 COARSE = 8192  # n-grams in a coarse fragment, about
 PARITY = 8
 BITS = [f"p{k}" for k in range(PARITY)]
-ROUNDS = 2
-FEATURES = "doc_id {id}, n long, sid binary, own array<long>, low array<long>, deficient int, n_own int, n_low int, " + ", ".join(f"p{k} long" for k in range(PARITY))
+CHEAP = 4  # pairs for each row of the index that are compared without further leaders
+LEFT = 0.8  # share of the pairs that a round of leaders may leave, if another one is to follow
+FEATURES = "doc_id {id}, rid long, text_key long, n long, sid binary, own array<long>, low array<long>, deficient int, " + ", ".join(f"p{k} long" for k in range(PARITY))
 
 
 def slack(far: int) -> int:
@@ -101,42 +110,54 @@ def segment_keys(s: np.ndarray, fragments: int) -> np.ndarray:
     return mix(np.add.reduceat(mix(s ^ np.uint64(0xFACADE)), begin) + at[begin] * np.uint64(0x9E3779B97F4A7C15) + mix(np.array([fragments], dtype=np.uint64)))
 
 
-def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, small: int) -> DataFrame:
-    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def features(df: DataFrame, id_col: str, text_col: str, n: int, num: int, den: int, spread: float = SPREAD, single: frozenset[int] = frozenset()) -> DataFrame:
+    """A row for each row of df: its set's size, id and parity bits, and its first segments.
+
+    own has those of its size class, low those of the class below if partners
+    may be in it. deficient is the size class if there are too few, else -1.
+    With single, own has the first single n-grams of sets of these classes only.
+    """
+    text = F.col(f"`{text_col}`")
+    rows = df.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"), F.monotonically_increasing_id().alias("rid"), F.xxhash64(text).alias("text_key"))
     far = (den - num) / num
 
     def fragments(size_class: int) -> int:
-        return 0 if size_class < small or far > 0.3 else int(np.ceil(2 ** (size_class + 1) * far * 1.6))
+        return 0 if size_class < SMALL or far > 0.3 else int(np.ceil(2 ** (size_class + 1) * far * spread))
+
+    def first_segments(s: np.ndarray, k: int, largest: int) -> tuple[np.ndarray, bool]:
+        """As many as a partner of at most largest n-grams needs, and whether they are too few."""
+        d = min(len(s), largest) * (den - num) // num
+        enough = min(d + slack(d), MOST) if k else d + slack(d)
+        keys = segment_keys(s, k).view(np.int64)[:enough]
+        return keys, len(keys) < min(len(s), enough)
+
+    def segments(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        nothing, size_class = np.zeros(0, np.int64), len(s).bit_length() - 1
+        if single:
+            return (first_segments(mix(s ^ np.uint64(0x51461E)), 0, len(s))[0] if size_class in single else nothing), nothing, -1
+        k, (own, short), low = fragments(size_class), first_segments(s, fragments(size_class), len(s)), nothing
+        # smaller partners may be in the class below
+        if size_class and num * len(s) <= den * (2**size_class - 1) and (k2 := fragments(size_class - 1)) != k:
+            low, few = first_segments(s, k2, 2**size_class - 1)
+            short = short or few
+        return own, low, size_class if short else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches):
             sizes, sids, own, low, deficient, bits = [], [], [], [], [], []
             for s in shingle_sets(texts, n):
-                size = len(s)
-                sizes.append(size)
+                sizes.append(len(s))
                 sids.append(set_id(s))
-                size_class = size.bit_length() - 1
-                keys, below = [], []
-                d = size * (den - num) // num
-                if size:
-                    k = fragments(size_class)
-                    keys = segment_keys(s, k).view(np.int64)[: d + slack(d)]
-                    # smaller partners may be in the class below
-                    if size_class and num * size <= den * (2**size_class - 1):
-                        if (k2 := fragments(size_class - 1)) != k:
-                            below = segment_keys(s, k2).view(np.int64)[: d + slack(d)]
-                own.append(keys)
-                low.append(below)
-                short = len(keys) < min(size, d + slack(d)) or len(below) and len(below) < min(size, d + slack(d))
-                deficient.append(size_class if short else -1)
+                for made, part in zip((own, low, deficient), segments(s) if len(s) else (s.view(np.int64), s.view(np.int64), -1)):
+                    made.append(part)
                 bits.append(parity(s))
             table = np.stack(bits) if bits else np.zeros((0, PARITY), np.int64)
             as_list = lambda parts: pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum([len(x) for x in parts])]), pa.int32()),
                 pa.array(np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in parts]])),
             )
-            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), as_list(own), as_list(low), pa.array(deficient, pa.int32()), pa.array([len(x) for x in own], pa.int32()), pa.array([len(x) for x in low], pa.int32()), *[pa.array(table[:, k]) for k in range(PARITY)]]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n", "sid", "own", "low", "deficient", "n_own", "n_low", *[f"p{k}" for k in range(PARITY)]])
+            columns = [batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary()), as_list(own), as_list(low), pa.array(deficient, pa.int32()), *[pa.array(table[:, k]) for k in range(PARITY)]]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "rid", "text_key", "n", "sid", "own", "low", "deficient", *BITS])
 
     return rows.mapInArrow(run, FEATURES.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -201,18 +222,12 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return parts.groupBy("a", "b").agg(F.sum("part").alias("common"))
 
 
-def prefix_index(found: DataFrame, about: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
+def prefix_index(sides: list[DataFrame], about: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame:
     """(cid, key, n, parity bits): the rarest segments of each class, as many as the prefix principle asks for.
 
-    found is dropped as soon as its keys are collapsed to classes.
+    sides: for each kind of segments, (cid, ks). Of segments with the same members one is left.
     """
-    live = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    keyed = scratch.cut(live.groupBy("sid").agg(F.min("rid").alias("cid"), F.first("own").alias("own"), F.first("low").alias("low")).select("cid", "own", "low"))
-    scratch.drop(found)
-    swept(scratch.spark)
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("own").alias("ks")), F.struct(F.lit(1).alias("side"), F.col("low").alias("ks")))
-    sided = keyed.select("cid", F.explode(sides).alias("l"))
-    rows = sided.select((F.col("cid") * 2 + F.col("l.side")).alias("ref"), F.explode("l.ks").alias("key"))
+    rows = reduce(DataFrame.unionByName, [s.select((F.col("cid") * 4 + k).alias("ref"), F.explode("ks").alias("key")) for k, s in enumerate(sides)])
     waves = 1 if num * 8 > den * 7 else 2  # more segments for lower similarities: their exchanges are held one after the other
     parts = []
     for wave in range(waves):
@@ -223,94 +238,150 @@ def prefix_index(found: DataFrame, about: DataFrame, num: int, den: int, scratch
         swept(scratch.spark)
     shared = reduce(DataFrame.unionByName, parts)
     by_ref = W.partitionBy("ref")
-    ranked = shared.select(F.floor(F.col("ref") / 2).alias("cid"), F.pmod("ref", F.lit(2)).alias("side"), "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
-    # a partner has num / den as many n-grams or more, so c is its slack at least; sets of one prefix's size have all in common
-    size, n = F.when(F.col("side") == 0, F.col("n_own")).otherwise(F.col("n_low")), F.col("n")
-    partner = F.floor(F.floor((n * num + den - 1) / F.lit(den)) * (den - num) / F.lit(num))
-    agreed = F.floor(partner * 3 / 20) + 1
-    # the prefix has size - agreed + 1 segments; those that occur once come first in it
-    chosen = ranked.join(about, "cid").filter(F.col("place") <= (size - agreed + 1) - (size - F.col("common")))
-    index = scratch.cut(chosen.select("cid", "key", "n", *BITS).distinct())
-    scratch.drop(keyed, *parts)
-    return index
+    ranked = shared.select(F.floor(F.col("ref") / 4).alias("cid"), "key", F.row_number().over(by_ref.orderBy("c", "key")).alias("place"), F.count("*").over(by_ref).alias("common"))
+    # a partner has num / den as many n-grams or more, so c is its slack at least
+    partner = F.floor(F.floor((F.col("n") * num + den - 1) / F.lit(den)) * (den - num) / F.lit(num))
+    agreed = F.least(F.floor(partner * 3 / 20) + 1, F.lit(SURE))
+    # the prefix has all segments but agreed - 1; those that occur once come first in it
+    index = scratch.cut(ranked.join(about, "cid").filter(F.col("place") <= F.col("common") - agreed + 1).select("cid", "key", "n", *BITS))
+    scratch.drop(*parts)
+    members = index.groupBy("key").agg(F.count("*").alias("c"), *[F.bit_xor(F.xxhash64("cid", F.lit(k))).alias(f"x{k}") for k in range(2)]).filter("c > 1")
+    once = scratch.cut(index.join(members.groupBy("c", "x0", "x1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi"))
+    scratch.drop(index)
+    return once
 
 
 def candidates(left: DataFrame, right: DataFrame, num: int, den: int, extra) -> DataFrame:
-    """(a, b, level, both): pairs that share a key, are in different components and may be near by size and parity."""
+    """(a, b, level, both, ra, rb): pairs that share a key, are in different components and may be near by size and parity."""
     x, y = left.alias("x"), right.alias("y")
     c = lambda s, k: F.col(f"{s}.{k}")
     apart = sum((F.bit_count(c("x", b).bitwiseXOR(c("y", b))) for b in BITS), F.lit(0))
     both = c("x", "n") + c("y", "n")
     near = (apart * (den + num) <= both * (den - num)) & (c("x", "n") * den >= c("y", "n") * num) & (c("y", "n") * den >= c("x", "n") * num)
     return (
-        x.join(y, (c("x", "key") == c("y", "key")) & near & (c("x", "root") != c("y", "root")) & extra(c))
-        .select(c("x", "cid").alias("a"), c("y", "cid").alias("b"), coarse_level(F.greatest(c("x", "n"), c("y", "n"))).alias("level"), both.alias("both"))
+        x.join(y, (c("x", "key") == c("y", "key")) & (c("x", "root") != c("y", "root")) & extra(c) & near)
+        .select(c("x", "cid").alias("a"), c("y", "cid").alias("b"), coarse_level(F.greatest(c("x", "n"), c("y", "n"))).alias("level"), both.alias("both"), c("x", "root").alias("ra"), c("y", "root").alias("rb"))
         .distinct()
     )
 
 
 def linked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(u, v): the components of pairs that are near."""
     common = overlaps(pairs, sets)
-    return common.join(pairs, ["a", "b"]).filter(den * F.col("common") >= num * (F.col("both") - F.col("common"))).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    near = common.join(pairs, ["a", "b"]).filter(den * F.col("common") >= num * (F.col("both") - F.col("common")))
+    return near.select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
 
 
-def components_of(index: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch) -> DataFrame | None:
+def merged(roots: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """roots (node, root), with the components that links (u, v) join made one."""
+    found = connected(links, scratch)
+    if roots is None:
+        return scratch.cut(found)
+    found = scratch.cut(found)
+    moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    out = scratch.cut(moved.unionByName(found.join(roots.select("node"), "node", "left_anti")))
+    scratch.drop(found, roots)
+    return out
+
+
+def components_of(index: DataFrame, sets: DataFrame, num: int, den: int, scratch: Scratch, cheap: int = CHEAP) -> DataFrame | None:
     """(node, root) of the classes that have links; None without any."""
-    links, roots = None, None
-    for step in range(ROUNDS + 1):
+    roots, step, before, led = None, 0, float("inf"), True
+    while True:
         placed = index.withColumn("root", F.col("cid")) if roots is None else index.join(roots.withColumnRenamed("node", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
-        if step < ROUNDS:
-            head = F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "root", *BITS)
-            leaders = placed.groupBy("key").agg(F.min(head).alias("s")).select("key", "s.cid", "s.n", "s.root", *[f"s.{b}" for b in BITS])
-            pairs = candidates(placed, leaders, num, den, lambda c: F.lit(True))
+        placed = scratch.cut(placed.select("cid", "key", "n", *BITS, "root"))
+        head = F.struct(F.xxhash64("cid", F.lit(step)).alias("h"), "cid", "n", "root", *BITS)
+        by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"), F.min(head).alias("s"))
+        size, same = F.sum("m"), F.sum(F.col("m").cast("double") * F.col("m"))
+        groups = by_root.groupBy("key").agg(F.count("*").alias("n_roots"), F.max(F.struct("m", "root"))["root"].alias("major"), ((size * size - same) / 2).alias("pairs"), size.alias("members"), F.min("s").alias("s"))
+        groups = scratch.cut(groups.filter("n_roots > 1").drop("n_roots"))
+        pairs_left, rows_left = groups.agg(F.sum("pairs"), F.sum("members")).first()
+        if not rows_left:
+            scratch.drop(placed, groups, *([index] if step else []))
+            return roots
+        last = not led or pairs_left <= cheap * rows_left or pairs_left > LEFT * before
+        before = pairs_left
+        apart = scratch.cut(placed.join(groups.select("key", "major"), "key"))  # segments within one component say nothing more
+        scratch.drop(placed)
+        if last:
+            major = lambda c: (c("y", "root") == c("y", "major")) | (c("x", "cid") < c("y", "cid"))
+            pairs = candidates(apart.filter("root != major"), apart, num, den, major)
         else:
-            pairs = candidates(placed, placed, num, den, lambda c: c("x", "cid") < c("y", "cid"))
+            pairs = candidates(apart, groups.select("key", "s.cid", "s.n", "s.root", *[f"s.{b}" for b in BITS]), num, den, lambda c: F.lit(True))
         pairs = scratch.cut(pairs)
-        # a leader round without pairs says nothing of the pairs without leader
+        led = False
         if not pairs.isEmpty():
-            new = linked(pairs, sets, num, den)
-            links = scratch.cut(new if links is None else links.unionByName(new))
-            roots = scratch.cut(connected(links, scratch))
-        scratch.drop(pairs)
+            links = scratch.cut(linked(pairs, sets, num, den))
+            if not links.isEmpty():
+                led, roots = True, merged(roots, links, scratch)
+            scratch.drop(links)
+        scratch.drop(pairs, groups)
+        if step:
+            scratch.drop(index)
+        index, step = apart.drop("root", "major"), step + 1
+        scratch.move(apart, index)
         swept(scratch.spark)
-    return roots
+        if last:
+            scratch.drop(index)
+            return roots
+
 
+def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", spread: float = SPREAD) -> DataFrame:
+    """A row for each row of df, linked at num / den or more.
 
-def near_duplicates(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, n_shingles, component_id, class_size for each row of df; linked at num / den or more."""
+    id_col, n_shingles, component_id, class_size, and text_key (the text's
+    xxhash64) and first: whether the row stands for its component. That is the
+    one with the smallest id; of rows that share it, with the smallest text_key.
+    """
     scratch = Scratch(df.sparkSession, "jaccard")
-    small = SMALL
-    while True:
-        found = scratch.cut(features(df, id_col, text_col, n, num, den, small).withColumn("rid", F.monotonically_increasing_id()))
-        worst = found.agg(F.max("deficient")).first()[0]
-        if worst is None or worst < 0:
-            break
-        small = worst + 1
-        scratch.drop(found)
-    live = found.filter((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    firsts = [F.first(c).alias(c) for c in ("n", "n_own", "n_low", *BITS)]
-    about = scratch.cut(live.groupBy("sid").agg(F.min("rid").alias("cid"), F.min("doc_id").alias("low_id"), F.count("*").alias("class_size"), *firsts))
-    rows = scratch.cut(found.select("doc_id", "n", "sid"))
-    index = prefix_index(found, about.select("cid", "n", "n_own", "n_low", *BITS), num, den, scratch)
+    found = scratch.cut(features(df, id_col, text_col, n, num, den, spread))
+    short = found.agg(F.collect_set(F.when(F.col("deficient") >= 0, F.col("deficient")))).first()[0]  # size classes: 64 at most
+    live = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    firsts = [F.first(c).alias(c) for c in ("n", *BITS)]
+    best = F.min(F.struct("doc_id", "text_key", "rid")).alias("best")
+    about = scratch.cut(found.filter(live).groupBy("sid").agg(F.min("rid").alias("cid"), best, F.count("*").alias("class_size"), *firsts))
+    rows = scratch.cut(found.select("doc_id", "rid", "text_key", "n", "sid", F.shiftright("rid", 33).alias("run")))
+    keyed = scratch.cut(found.filter(live).groupBy("sid").agg(F.min("rid").alias("cid"), F.first("own").alias("own"), F.first("low").alias("low")).select("cid", "own", "low"))
+    scratch.drop(found)
+    sides = [keyed.select("cid", F.col(c).alias("ks")) for c in ("own", "low")]
+    if short:
+        near_classes = frozenset(c + k for c in short for k in (-1, 0, 1))
+        more = features(df, id_col, text_col, n, num, den, single=near_classes).filter(live & (F.size("own") > 0)).groupBy("sid").agg(F.first("own").alias("ks"))
+        sides.append(scratch.cut(more.join(about.select("sid", "cid"), "sid").select("cid", "ks")))
     swept(df.sparkSession)
-    held = about.join(index.select("cid").distinct(), "cid", "left_semi").select("cid", "sid", F.col("low_id").alias("doc_id"))
+    index = prefix_index(sides, about.select("cid", "n", *BITS), num, den, scratch)
+    scratch.drop(keyed, *sides[2:])
+    swept(df.sparkSession)
+    held = about.join(index.select("cid").distinct(), "cid", "left_semi").select("cid", "sid", F.col("best.doc_id").alias("doc_id"))
     texts = df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).join(held, "doc_id")
     sets = scratch.cut(coarse_sets(texts, n, num, den))
     swept(df.sparkSession)
     roots = components_of(index, sets, num, den, scratch)
     scratch.drop(sets, index)
-    named = about.select("sid", "cid", "low_id", "class_size")
-    if roots is None:
-        named = named.withColumn("component_id", F.col("low_id"))
-    else:
-        rooted = named.join(roots.withColumnRenamed("node", "cid"), "cid")
-        lowest = rooted.groupBy("root").agg(F.min("low_id").alias("component_id"))
-        named = named.join(rooted.join(lowest, "root").select("sid", "component_id"), "sid", "left")
-    named = scratch.cut(named.select(F.col("sid").alias("own_sid"), "class_size", F.coalesce("component_id", "low_id").alias("component_id")))
-    lone = (F.col("n") == 0) | F.col("doc_id").isNull()
-    return rows.join(named, (F.col("sid") == F.col("own_sid")) & ~lone, "left").select(
+    named = about.select("sid", "cid", "best", "class_size")
+    if roots is not None:
+        rooted = named.join(roots.withColumnRenamed("node", "cid"), "cid").select("cid", "root", "best")
+        least = rooted.groupBy("root").agg(F.min("best").alias("whole"))
+        named = named.join(rooted.join(least, "root").select("cid", "whole"), "cid", "left").withColumn("best", F.coalesce("whole", "best"))
+    # run by run, so that the rows of a set that a third of all rows have are not one task's
+    decided = rows.filter(live).select("run", "sid").distinct().join(named.select("sid", "class_size", "best"), "sid").withColumn("known", F.lit(True))
+    lone = F.col("known").isNull()
+    return rows.join(decided, ["run", "sid"], "left").select(
         F.col("doc_id").alias(id_col),
         F.col("n").alias("n_shingles"),
-        F.when(lone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-        F.coalesce("class_size", F.lit(1)).alias("class_size"),
+        F.when(live, F.col("best.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(live, F.col("class_size")).otherwise(F.lit(1)).alias("class_size"),
+        "text_key",
+        (~live | lone | (F.col("best.rid") == F.col("rid"))).alias("first"),
     )
+
+
+def deduplicated(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that stand for their components, with df's columns; rows with a null id or without words stay.
+
+    Rows that repeat both id and text stand or fall together.
+    """
+    found = near_duplicates(df, n, num, den, id_col, text_col)
+    key = [F.col(f"`{id_col}`").alias("_id"), F.col("text_key").alias("_key")]
+    gone = found.select(*key, "first").filter(F.col("_id").isNotNull()).groupBy("_id", "_key").agg(F.max("first").alias("kept")).filter("not kept")
+    return df.join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_key")), "left_anti")

@@ -41,7 +41,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100).drop("class_size")
+    return jaccard_join.near_duplicates(documents(spark, sf_dir), n=3, num=90, den=100).drop("class_size", "text_key", "first")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,6 @@ as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronofact.llm import bpe, dedup, importance, jaccard_join, mixing
 from chronofact.llm._common import staged
@@ -28,9 +27,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates (five words, 0.8)."""
-    found = jaccard_join.near_duplicates(docs, n=5, num=80, den=100)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard_join.deduplicated(docs, n=5, num=80, den=100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

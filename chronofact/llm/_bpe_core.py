@@ -16,21 +16,28 @@ class Bounded(dict):
     """A cache of two generations: when the young one is full, it becomes the old one.
 
     What is asked for again moves from the old generation to the young one, so
-    frequent keys stay, and at most 2 * limit entries are held.
+    frequent keys stay. A generation holds about limit bytes at most, by the
+    sizes of keys and values; keys of over LONG characters are not held.
     """
 
+    LONG = 512
+    ENTRY = 150  # bytes of a key and a value beside their contents, about
+
     def __init__(self, limit: int, make):
         super().__init__()
-        self.limit, self.make, self.old = limit, make, {}
+        self.limit, self.make, self.old, self.held = limit, make, {}, 0
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
+        if len(key) > self.LONG:
+            return self.make(key)
+        if self.held >= self.limit:
+            self.old, self.held = dict(self), 0
             self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         self[key] = value
+        self.held += self.ENTRY + 4 * len(key) + (len(value) * 4 if hasattr(value, "__len__") else 0)
         return value
 
 
@@ -46,7 +53,7 @@ class Merges:
             if t:
                 self.trie.add_word(t, k)
         self.trie.make_automaton()
-        self._fits = Bounded(2_000_000, lambda pair: self._compatible(*pair))
+        self._fits = Bounded(96 << 20, lambda pair: self._compatible(*pair))
 
     def _compatible(self, a: int, b: int) -> bool:
         limit, rank, parts = float("inf"), self.rank, self.parts

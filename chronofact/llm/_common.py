@@ -3,38 +3,15 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..shared import cut, shared_dir
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir.
-
-    Only where the session names none (tests on one machine) a temporary
-    folder is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="chronofact-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and go on from there.
-
-    Later steps read the written rows, whatever executors are lost, and rows
-    that were numbered before the cut keep their numbers.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+__all__ = ["Scratch", "cut", "offsets", "own_rows", "sample_bound", "sampled", "shared_dir", "staged", "swept"]
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -90,6 +67,16 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def sample_bound(most: int, rows: int) -> int:
+    """Of rows with uniform 63-bit hashes, most (or all, if there are fewer) are expected below it."""
+    return (1 << 63) - 1 if rows <= most else (most << 63) // rows
+
+
+def sampled(bound: Column | int, tag: str, *columns: str) -> Column:
+    """Whether the hash of the columns is below a sample_bound()."""
+    return F.shiftrightunsigned(F.xxhash64(*columns, F.lit(tag)), 1) < (F.lit(bound) if isinstance(bound, int) else bound)
+
+
 def own_rows(df: DataFrame, *named: str) -> DataFrame:
     """df without the columns in named, which an operator is about to add."""
     taken = {n.lower() for n in named}

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 4 << 20
+_CUTS = [bytes([c]) for c in (0x20, *range(0x09, 0x0E))]
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -45,13 +46,40 @@ def spans_hash(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.n
     return mix(sums ^ (sizes.astype(np.uint64) << np.uint64(48)))
 
 
+def parts_of(text: bytes, size: int = SLICE_BYTES) -> list[bytes]:
+    """The text cut at spaces into parts of about size bytes; a longer word stays whole."""
+    out, at = [], 0
+    while len(text) - at > size:
+        end = max(text.rfind(c, at, at + size) for c in _CUTS)
+        if end <= at:
+            ends = [k for c in _CUTS if (k := text.find(c, at + size)) >= 0]
+            if not ends:
+                break
+            end = min(ends)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def word_hashes(texts: list[bytes], lower: bool = False, marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, where each text's words begin and the last end).
 
     Words are maximal runs of bytes other than the six ASCII spaces; with
     marks, runs of ASCII letters, digits and bytes above 127 are apart from
-    runs of other characters.
+    runs of other characters. Working memory is some 40 bytes for each byte
+    of text, so long texts are done in parts.
     """
+    if not any(len(t) > SLICE_BYTES for t in texts):
+        return _word_hashes(texts, lower, marks)
+    found, counts = [], []
+    for text in texts:
+        done = [_word_hashes([part], lower, marks)[0] for part in parts_of(text)]
+        found += done
+        counts.append(sum(map(len, done)))
+    return np.concatenate(found), np.cumsum([0, *counts])
+
+
+def _word_hashes(texts: list[bytes], lower: bool, marks: bool) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.fromiter((len(t) for t in texts), dtype=np.int64, count=len(texts))
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)  # the added byte parts the texts
     if lower:
@@ -68,8 +96,8 @@ def word_hashes(texts: list[bytes], lower: bool = False, marks: bool = False) ->
     return spans_hash(data, begins, ends), np.searchsorted(begins, first)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches with about SLICE_BYTES of text each, and their texts as UTF-8 (null: empty)."""
+def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about size bytes of text each, and their texts as UTF-8 (null: empty)."""
     for batch in batches:
         column = batch.column(text_at).cast(pa.large_binary())
         sizes = np.diff(np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]) if len(column) else np.zeros(0, dtype=np.int64)
@@ -77,6 +105,6 @@ def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1) -> Iterator[tupl
         at = 0
         while at < batch.num_rows:
             begin = total[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(total, begin + SLICE_BYTES, side="right")))
+            end = max(at + 1, int(np.searchsorted(total, begin + size, side="right")))
             yield batch.slice(at, end - at), [x or b"" for x in column.slice(at, end - at).to_pylist()]
             at = end

@@ -1,4 +1,4 @@
-"""Mixing sources by temperature: target weights realised as block permutations.
+"""Mixing sources by temperature: target weights realised as budgeted block permutations.
 
 A source's weight is its token share to the power a, normalised. The exponent
 is bisected: to the smallest one at which no source is repeated more often than
@@ -8,32 +8,41 @@ budget is the least one that uses every source at least once, so no row is lost.
 A source is laid out as whole passes over its rows and a last partial one. Each
 pass has an order of its own, by a hash of source, pass and id. The partial pass
 takes rows in its order up to its token budget, which is a threshold of the
-hash; it is found exactly from sums over all rows. So rows are chosen and
-placed where they are read: texts are not shuffled, and a source with a third
-of all rows is no task of its own. mix_key (pass + hash, over the number of
-passes; in the partial pass, over the part that is taken) orders the mixture; block cuts it into blocks. Token
-budget and target weights hold in a block in expectation only.
+hash; it is found exactly from sums over all rows.
+
+The mixture is cut into blocks of block_tokens tokens. A source's budget in each
+block is its share of the mixture's tokens: its layout is cut at equal running
+counts of tokens, and a row belongs to the block in which it begins. So in every
+block every source has its budget but for the length of one document at each
+end. Within a block, rows of all sources are permuted: mix_key, a hash from 0
+to below 1, is their order.
+
+Cuts are places in hash bins: sums by bin give most rows' blocks, and only rows
+of bins that hold a cut are summed one by one. Plans use a narrow table (source,
+id, tokens), so texts are read twice, and rows are placed where they are read:
+texts are not shuffled while the table of bins is small enough to be broadcast,
+and a source with a third of all rows is no task of its own.
 
 Cases: a null source is a source. Null and empty texts have no tokens; sources
-without tokens are passed once. Rows with equal source and id have equal hashes
-and share a decision. An empty table gives an empty result. Columns that clash
-with the added ones (n_tokens, epoch, mix_key, block) are replaced. There may
-be max_sources sources, since their weights are kept on the driver.
+without tokens are passed once and dealt to blocks by hash. Rows with equal
+source and id have equal hashes and share a decision. An empty table gives an
+empty result. Columns that clash with the added ones (n_tokens, epoch, mix_key,
+block) are replaced. There may be max_sources sources, since their weights are
+kept on the driver.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import own_rows
+from ._common import cut, own_rows
 from .quality_rules import SPACE
 
-BINS = 1 << 16
+MOST_BITS = 16  # of a hash that tell its bin
 ADDED = ("n_tokens", "epoch", "mix_key", "block")
 
 
@@ -62,15 +71,6 @@ def bisected(meets, low: float = 0.0, high: float = 1.0, steps: int = 60) -> flo
     return high
 
 
-@dataclass
-class Plan:
-    exponent: float
-    budget: float
-    weights: dict
-    repeats: dict
-    last: dict  # the largest hash that the partial pass takes, by source
-
-
 def planned_repeats(tokens: list[int], max_repeats: float | None, target_entropy: float | None) -> tuple[float, float, list[float], list[float]]:
     """(exponent, budget, weights, repeats) for the sources' token sums."""
     if (max_repeats is None) == (target_entropy is None):
@@ -98,26 +98,11 @@ def _hash(source: Column, epoch, ident: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), source, epoch, ident), 11)
 
 
-def planned(df: DataFrame, id_col: str, source_col: str, tokens: Column, max_repeats: float | None, target_entropy: float | None, seed: int, max_sources: int) -> Plan:
-    rows = df.select(F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("id"), tokens.alias("n"))
-    sums = rows.groupBy("source").agg(F.sum("n")).limit(max_sources + 1).collect()
-    if len(sums) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sums.sort(key=lambda r: (r[0] is not None, r[0]))
-    names, totals = [r[0] for r in sums], [r[1] for r in sums]
-    a, budget, w, repeats = planned_repeats(totals, max_repeats, target_entropy)
-    plan = Plan(a, budget, dict(zip(names, w)), dict(zip(names, repeats)), {})
-    if not names:
-        return plan
-    parts = [(s, int(r), int((r - int(r)) * t)) for s, r, t in zip(names, repeats, totals)]
-    spark = df.sparkSession
-    limits = spark.createDataFrame([(i, s, e, b) for i, (s, e, b) in enumerate(parts)], f"i int, source {rows.schema['source'].dataType.simpleString()}, last int, room long")
-    hashed = (
-        rows.join(F.broadcast(limits.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")))  # at most max_sources rows
-        .filter("room > 0")
-        .select("i", "room", "n", _hash(F.col("source"), F.col("last"), F.col("id"), seed).alias("h"))
-        .withColumn("bin", F.shiftright("h", 53 - 16).cast("int"))
-    )
+def _partial_ends(hashed: DataFrame) -> dict[int, int]:
+    """The largest hash that a source's partial pass takes: the last one at which its sum is within its room.
+
+    hashed: i (source), room, n, h, bin. Rows with equal hashes go together.
+    """
     upto = W.partitionBy("i").orderBy("bin")
     bins = hashed.groupBy("i", "room", "bin").agg(F.sum("n").alias("n"), F.max("h").alias("h")).withColumn("end", F.sum("n").over(upto))
     whole = bins.filter("end <= room").groupBy("i").agg(F.max("h").alias("h"))
@@ -132,30 +117,69 @@ def planned(df: DataFrame, id_col: str, source_col: str, tokens: Column, max_rep
         .groupBy("i")
         .agg(F.max("h").alias("h"))
     )
-    for i, h in whole.unionByName(within).groupBy("i").agg(F.max("h")).collect():  # at most max_sources rows
-        plan.last[names[i]] = h
-    return plan
+    return {r[0]: r[1] for r in whole.unionByName(within).groupBy("i").agg(F.max("h")).collect()}  # at most a row for each source
+
+
+def _bin(h: Column, bits: int) -> Column:
+    return F.shiftright(h, 53 - bits).cast("int")
+
+
+def _cuts(laid: DataFrame, blocks: int) -> DataFrame:
+    """(i, epoch, bin, first, cuts): the block in which a bin begins, and the hashes at which later blocks begin in it.
+
+    laid: i, total (tokens that the source has in the mixture), epoch, bin, h, n.
+    """
+    block = lambda begin: F.least(F.lit(blocks - 1), F.floor(begin * F.lit(float(blocks)) / F.col("total"))).cast("int")
+    bins = laid.groupBy("i", "total", "epoch", "bin").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    before = F.sum("n").over(W.partitionBy("i").orderBy("epoch", "bin")) - F.col("n")
+    bins = bins.withColumn("begin", before).withColumn("first", block(F.col("begin"))).withColumn("last", block(F.col("begin") + F.col("n")))
+    split = bins.filter("last > first").select("i", "total", "epoch", "bin", "begin", "first")
+    # rows with equal hashes begin together
+    rows = laid.join(split.drop("total"), ["i", "epoch", "bin"]).groupBy("i", "total", "epoch", "bin", "begin", "first", "h").agg(F.sum("n").alias("n"))
+    inner = F.sum("n").over(W.partitionBy("i", "epoch", "bin").orderBy("h")) - F.col("n")
+    placed = rows.withColumn("block", block(F.col("begin") + inner)).filter("block > first").groupBy("i", "epoch", "bin", "block").agg(F.min("h").alias("h"))
+    cuts = placed.groupBy("i", "epoch", "bin").agg(F.collect_list(F.struct("h", "block")).alias("cuts"))
+    return bins.select("i", "epoch", "bin", "first").join(cuts, ["i", "epoch", "bin"], "left")
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", tokens: Column | None = None, max_repeats: float | None = 2.0, target_entropy: float | None = None, block_tokens: int = 1_000_000, seed: int = 11, max_sources: int = 10_000) -> DataFrame:
-    """df's rows, as often as the mixture takes them, with n_tokens, epoch, mix_key and block."""
+    """df's rows, as often as the mixture takes them, with n_tokens, epoch, block and mix_key, the order in the block."""
+    spark = df.sparkSession
     if tokens is None:
         tokens = words(F.col(f"`{text_col}`"))
-    plan = planned(df, id_col, source_col, tokens, max_repeats, target_entropy, seed, max_sources)
-    kind = df.schema[source_col].dataType.simpleString()
-    table = df.sparkSession.createDataFrame(
-        [(s, float(r), int(r), plan.last.get(s, -1)) for s, r in plan.repeats.items()], f"_source {kind}, _repeats double, _whole int, _last long"
-    )
-    blocks = max(1, math.ceil(plan.budget / block_tokens))
-    base = own_rows(df, *ADDED)
-    source, ident = F.col(f"`{source_col}`"), F.col(f"`{id_col}`")
-    passes = F.sequence(F.lit(0), F.when(_hash(source, F.col("_whole"), ident, seed) <= F.col("_last"), F.col("_whole")).otherwise(F.col("_whole") - 1))
-    at = _hash(source, F.col("epoch"), ident, seed)
-    part = F.when(F.col("epoch") == F.col("_whole"), (F.col("_repeats") - F.col("_whole")) * at / (F.col("_last") + 1)).otherwise(at / F.lit(2.0**53))
-    placed = (
-        base.withColumn("n_tokens", tokens)
-        .join(F.broadcast(table), source.eqNullSafe(F.col("_source")))  # at most max_sources rows
-        .withColumn("epoch", F.explode(passes))
-        .withColumn("mix_key", (F.col("epoch") + part) / F.col("_repeats"))
-    )
-    return placed.withColumn("block", F.least(F.lit(blocks - 1), F.floor(F.col("mix_key") * blocks)).cast("int")).drop("_source", "_repeats", "_whole", "_last")
+    source, ident, kind = F.col(f"`{source_col}`"), F.col(f"`{id_col}`"), df.schema[source_col].dataType.simpleString()
+    narrow = cut(df.select(source.alias("source"), ident.alias("id"), tokens.alias("n")))
+    sums = narrow.groupBy("source").agg(F.sum("n")).limit(max_sources + 1).collect()
+    if len(sums) > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
+    sums.sort(key=lambda r: (r[0] is not None, r[0]))
+    names, totals = [r[0] for r in sums], [r[1] for r in sums]
+    _, budget, _, repeats = planned_repeats(totals, max_repeats, target_entropy)
+    blocks = max(1, math.ceil(budget / block_tokens))
+    bits = min(MOST_BITS, max(4, (blocks * 16).bit_length()))
+
+    def table(last: dict[int, int]) -> DataFrame:
+        rows = [(i, s, int(r), int((r - int(r)) * t), last.get(i, -1)) for i, (s, r, t) in enumerate(zip(names, repeats, totals))]
+        return F.broadcast(spark.createDataFrame(rows, f"_i int, _source {kind}, _whole int, _room long, _last long"))  # at most max_sources rows
+
+    def laid(rows: DataFrame, name: Column, key: Column, last: dict[int, int]) -> DataFrame:
+        """rows once for each pass that takes them, with _i, epoch, _h and _bin."""
+        whole = F.col("_whole")
+        taken = F.sequence(F.lit(0), F.when(_hash(name, whole, key, seed) <= F.col("_last"), whole).otherwise(whole - 1))
+        out = rows.join(table(last), name.eqNullSafe(F.col("_source"))).withColumn("epoch", F.explode(taken))
+        return out.withColumn("_h", _hash(name, F.col("epoch"), key, seed)).withColumn("_bin", _bin(F.col("_h"), bits)).drop("_source", "_whole", "_room", "_last")
+
+    hashed = narrow.join(table({}), F.col("source").eqNullSafe(F.col("_source"))).filter("_room > 0")
+    hashed = hashed.select(F.col("_i").alias("i"), F.col("_room").alias("room"), "n", _hash(F.col("source"), F.col("_whole"), F.col("id"), seed).alias("h"))
+    last = _partial_ends(hashed.withColumn("bin", _bin(F.col("h"), MOST_BITS)))
+    layout = cut(laid(narrow, F.col("source"), F.col("id"), last).select(F.col("_i").alias("i"), "epoch", F.col("_bin").alias("bin"), F.col("_h").alias("h"), "n"))
+    used = layout.groupBy("i").agg(F.sum("n").alias("total")).filter("total > 0")
+    cuts = cut(_cuts(layout.join(F.broadcast(used), "i"), blocks))  # used has at most max_sources rows
+    named = cuts.select(F.col("i").alias("_i"), F.col("epoch").alias("_epoch"), F.col("bin").alias("_b"), "first", "cuts")
+    placed = laid(own_rows(df, *ADDED).withColumn("n_tokens", tokens), source, ident, last)
+    placed = placed.join(named.select(F.col("_i").alias("_j"), "_epoch", "_b", F.col("first").alias("_first"), F.col("cuts").alias("_cuts")), (F.col("_i") == F.col("_j")) & (F.col("epoch") == F.col("_epoch")) & (F.col("_bin") == F.col("_b")), "left")
+    passed = F.filter("_cuts", lambda c: c["h"] <= F.col("_h"))
+    within = F.greatest(F.col("_first"), F.coalesce(F.array_max(F.transform(passed, lambda c: c["block"])), F.lit(0)))
+    dealt = F.floor(F.col("_h") * F.lit(blocks / 2.0**53))  # sources without tokens
+    order = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit("order"), source, F.col("epoch"), ident), 11) / F.lit(2.0**53)
+    return placed.withColumn("block", F.coalesce(within, dealt).cast("int")).withColumn("mix_key", order).drop("_i", "_h", "_bin", "_j", "_epoch", "_b", "_first", "_cuts")

@@ -1,29 +1,37 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison.
 
-Every paragraph (line) of every text is scored by sparse logistic regression
-over hashed words and word pairs (lower case, weights averaged over the
-paragraph). A first model separates licence notices from other text; the second
-names the family, or "unknown". Its probabilities are calibrated by a
-temperature fitted on held-out variants, and a family needs a probability of
-MIN_PROB. It must then be confirmed: at least MIN_SHARE of the word pairs of one
-of the family's templates occur in the paragraph. What is a notice but has no
-confirmed family is "unknown".
-
-A notice inside other text would vanish in the average over a long paragraph.
-So a paragraph that is none as a whole, or has more than LONG words, is also
-scored by all its windows of WINDOWS words; windows found that overlap are one
-span. In a span the windows with a confirmed family that hold most of a template
-are notices, as far as they do not overlap; a span without any is "unknown" if one of its
-windows has p > 0.9. So such a span may hold up to a window of text beside it.
-
-Training: variants of the templates below, and at most max_negatives corpus
-paragraphs, from rows chosen by a
-hash of the id, with four windows of each. So the models are bounded and fitted on
-the driver; scans cover every paragraph.
+Every line of every text is scored by sparse logistic regression over hashed
+words and word pairs (lower case, weights averaged over the line). A first
+model separates licence notices from other text; the second names the family
+(a licence and its version), or "unknown". It must then be confirmed: at least
+MIN_SHARE of the word pairs of one of the family's templates occur in the
+notice, and what tells the family from its kin is told: the version, the
+elements of a Creative Commons licence, the clauses of a BSD one, the kind of
+a GNU one. What is a notice but has no confirmed family is "unknown".
+
+A notice inside other text would vanish in the average over a long line. So a
+line that is none as a whole, or has more than LONG words, is also scored by
+all its windows of WINDOWS words; windows found that overlap are one span. In a
+span the windows with a confirmed family that hold most pairs of a template are
+notices, as far as they do not overlap; a span without any is "unknown" if one
+of its windows has p > 0.9. So such a span may hold up to a window of text
+beside it. A paragraph is a run of lines that are not blank: a notice that is
+wrapped over two lines of it is found in the windows across their border, if
+its family is confirmed.
+
+Training: the templates are made by rule from names and versions; the models
+are fitted on variants of them, on notices of no family, on sentences that use
+a notice's words otherwise, and on at most about max_negatives lines of the
+corpus, chosen by a hash of id and place, with four windows of each. Lines that
+hold half of a template are not taken. The probability that a family needs and
+the temperature are calibrated with a model that has never seen every fourth
+family: their variants must come out as unknown. So the models are bounded and
+fitted on the driver; scans cover every line.
 
 Cases: null, empty and wordless texts have no paragraphs, and a row with empty
 lists. Null ids, repeated rows and very long texts pass through whole, a result
-row for each input row. Input columns other than id and text are not read.
+row for each input row. Equal probabilities go to the first family by name.
+Input columns other than id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,32 +47,88 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import sample_bound, sampled
 from ._text import mix, slices, word_hashes
 
 BITS = 15
-MIN_PROB = 0.5
 MIN_SHARE = 0.6
 UNKNOWN = "unknown"
 WINDOWS = (6, 9, 14, 20)  # words; the longest template has 18
 LONG = 40
+LINE = 4000  # characters of a line that are fitted at most; scans are of whole lines
 SPAN_LOGIT = 2.2  # p > 0.9: with so many windows, a few of prose are over 0.5
 WORDS = re.compile(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+")  # as word_hashes finds them, with marks
 
-# Short notices and opening sentences by which public licences are declared.
-TEMPLATES = {
-    "agpl-3.0": ["licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0"],
-    "apache-2.0": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "Released under the Apache License 2.0"],
-    "bsd-3-clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted", "Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause"],
-    "cc-by-4.0": ["Licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
-    "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0", "licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
-    "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
-    "cc0-1.0": ["released under CC0 1.0 Universal Public Domain Dedication", "dedicated to the public domain under CC0"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "under the terms of the GNU General Public License as published by the Free Software Foundation", "SPDX-License-Identifier: GPL-3.0"],
-    "lgpl-3.0": ["licensed under the GNU Lesser General Public License, version 3", "SPDX-License-Identifier: LGPL-3.0"],
+# Names of public licences, their versions, and sentences of their texts that are used as notices.
+VERSIONED = {
+    "agpl": ("GNU Affero General Public License", "AGPL", ["3.0"]),
+    "apache": ("Apache License", "Apache", ["1.1", "2.0"]),
+    "artistic": ("Artistic License", "Artistic", ["1.0", "2.0"]),
+    "epl": ("Eclipse Public License", "EPL", ["1.0", "2.0"]),
+    "gpl": ("GNU General Public License", "GPL", ["2.0", "3.0"]),
+    "lgpl": ("GNU Lesser General Public License", "LGPL", ["2.1", "3.0"]),
+    "mpl": ("Mozilla Public License", "MPL", ["1.1", "2.0"]),
+}
+NAMED = {"agpl": "affero", "apache": "apache", "artistic": "artistic", "epl": "eclipse", "gpl": "gnu", "lgpl": "lesser", "mpl": "mozilla"}  # the telling word of each name
+COMMONS = {"by": "Attribution", "nc": "NonCommercial", "sa": "ShareAlike", "nd": "NoDerivatives"}
+COMMONS_KINDS, COMMONS_VERSIONS = ["by", "by-nc", "by-nc-nd", "by-nc-sa", "by-nd", "by-sa"], ["2.0", "3.0", "4.0"]
+PLAIN = {
+    "bsd-2-clause": ["Released under the BSD 2-Clause License", "SPDX-License-Identifier: BSD-2-Clause", "Licensed under the Simplified BSD License, two clauses"],
+    "bsd-3-clause": ["Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Licensed under the New BSD License, three clauses"],
+    "cc0-1.0": ["released under CC0 1.0 Universal Public Domain Dedication", "dedicated to the public domain under CC0", "SPDX-License-Identifier: CC0-1.0"],
+    "isc": ["Released under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted"],
     "mit": ["Released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", "SPDX-License-Identifier: MIT", "Licensed under the MIT License"],
-    "mpl-2.0": ["subject to the terms of the Mozilla Public License, version 2.0", "SPDX-License-Identifier: MPL-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
 }
-OTHER_NOTICES = ["All rights reserved under the terms of our own license", "Use is subject to the license agreement", "Licensed for personal use only", "distributed under the Example Community License", "This material is licensed to subscribers", "released under a custom license"]
+SENTENCES = {"apache-2.0": ["you may not use this file except in compliance with the License"]}
+OTHER_NOTICES = ["All rights reserved under the terms of our own license", "Use is subject to the license agreement", "Licensed for personal use only", "distributed under the Example Community License", "This material is licensed to subscribers", "released under a custom license", "Redistribution and use in source and binary forms, with or without modification, are permitted", "under the terms of the GNU General Public License as published by the Free Software Foundation", "Licensed under the terms found in the LICENSE file", "Copyright by the authors, all rights reserved", "Licensed under the Foo Private License", "Use of this data is governed by the license of its owner"]
+# Sentences with a notice's words that are no notice; {} stands for a word of the corpus.
+OTHER_USES = ["he lost his driver's license on the way {}", "she will license new taxi drivers in the {}", "the bar had its liquor license renewed {}", "poetic license allows a {}", "a hunting license is needed for {}", "the copyright of songs was the topic of the {}", "the public went to the general {} in the mountains", "they released the {} under the bridge", "he was granted permission to leave {} early", "the permission to build a {} was refused", "free of charge, they gave a copy of the {} to any person", "the terms of the {} were read under the old tree", "Apache helicopters flew over the {}", "students at MIT wrote software for a {}", "the eclipse was public and {}", "the Mozilla browser opened a {}", "the work of this {} is known", "version 2 of the {} came out in May", "the marriage license cost a {}", "the creative commons of the {} were a meeting place", "public domain names for a {} are cheap"]
+
+
+def made_templates() -> dict[str, list[str]]:
+    """Notices by family, from names and versions."""
+    out = {name: list(lines) for name, lines in PLAIN.items()}
+    for kind, (name, short, versions) in VERSIONED.items():
+        for v in versions:
+            spoken = v.removesuffix(".0") if kind.endswith("gpl") else v
+            out[f"{kind}-{v}"] = [f"{name}, version {spoken}", f"This work is licensed under the {name}, version {spoken}", f"Released under the {name} {v}", f"subject to the terms of the {name}, v. {v}", f"SPDX-License-Identifier: {short}-{v}", f"Licensed under {short} {v}", f"Licensed under the {short}v{spoken}", *SENTENCES.get(f"{kind}-{v}", [])]
+    for kind in COMMONS_KINDS:
+        whole = "-".join(COMMONS[x] for x in kind.split("-"))
+        for v in COMMONS_VERSIONS:
+            out[f"cc-{kind}-{v}"] = [f"Creative Commons {whole} {v}", f"Licensed under CC {kind.upper()} {v}", f"licensed under a Creative Commons {whole} {v} International License", f"SPDX-License-Identifier: CC-{kind.upper()}-{v}"]
+    return dict(sorted(out.items()))
+
+
+TEMPLATES = made_templates()
+
+
+def told(family: str, text: str) -> bool:
+    """Whether a notice tells the family from its kin."""
+    words = set(re.findall(r"[a-z]+|\d+(?:\.\d+)*", text.lower()))
+    if family.startswith("cc-"):
+        kind, version = family[3:].rsplit("-", 1)
+        named = {x for x, whole in COMMONS.items() if words & {x, whole.lower(), whole.lower().removesuffix("atives") + "s"} or x != "by" and whole.lower() in text.lower().replace("-", "").replace(" ", "")}
+        return named == set(kind.split("-")) and _has_version(words, version)
+    if family.startswith("bsd-"):
+        two = bool(words & {"2", "two", "simplified", "freebsd"})
+        three = bool(words & {"3", "three", "new", "revised", "modified"})
+        return "bsd" in words and (two, three) == (family == "bsd-2-clause", family == "bsd-3-clause")
+    kind = next((k for k in VERSIONED if family.startswith(f"{k}-")), None)
+    if kind is None:
+        return True
+    if not words & {NAMED[kind], kind, f"{kind}v"}:
+        return False
+    if kind.endswith("gpl"):
+        named = "agpl" if words & {"affero", "agpl", "agplv"} else "lgpl" if words & {"lesser", "library", "lgpl", "lgplv"} else "gpl"
+        if named != kind:
+            return False
+    sentences = SENTENCES.get(family, [])
+    return _has_version(words, family.rsplit("-", 1)[1]) or any(x.lower() in text.lower() for x in sentences)
+
+
+def _has_version(words: set[str], version: str) -> bool:
+    return bool({version, version.removesuffix(".0")} & words)
 
 
 def paragraph_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,25 +164,26 @@ class Softmax:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def fitted_softmax(lines: list[bytes], classes: np.ndarray, n_classes: int, steps: int = 300, rate: float = 40.0, decay: float = 1e-5) -> Softmax:
+def fitted_softmax(lines: list[bytes], classes: np.ndarray, n_classes: int, steps: int = 200, rate: float = 40.0, decay: float = 1e-5) -> Softmax:
     """Full-batch gradient descent with momentum."""
     at, own, n = paragraph_features(lines)
-    value = 1.0 / np.maximum(n, 1)[own]
     used, compact = np.unique(at, return_inverse=True)
-    w, b = np.zeros((n_classes, len(used))), np.zeros(n_classes)
+    x = np.zeros((len(lines), len(used)), dtype=np.float32)
+    np.add.at(x, (own, compact), (1.0 / np.maximum(n, 1)[own]).astype(np.float32))
+    w, b = np.zeros((len(used), n_classes), dtype=np.float32), np.zeros(n_classes, dtype=np.float32)
     speed = np.zeros_like(w)
-    truth = np.eye(n_classes)[classes]
+    truth = np.eye(n_classes, dtype=np.float32)[classes]
+    scale = np.float32(rate * max(1.0, n_classes / 12))  # a class has its share of the lines only
     for _ in range(steps):
-        z = np.stack([np.bincount(own, weights=w[c][compact] * value, minlength=len(lines)) for c in range(n_classes)], axis=1) + b
+        z = x @ w + b
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        miss = (e / e.sum(axis=1, keepdims=True) - truth) / len(lines)
-        grad = np.stack([np.bincount(compact, weights=miss[own, c] * value, minlength=len(used)) for c in range(n_classes)])
-        speed = 0.9 * speed - rate * (grad + decay * w)
+        miss = (e / e.sum(axis=1, keepdims=True) - truth) / np.float32(len(lines))
+        speed = np.float32(0.9) * speed - scale * (x.T @ miss + np.float32(decay) * w)
         w = w + speed
-        b = b - rate / 40 * miss.sum(axis=0)
+        b = b - scale / 40 * miss.sum(axis=0)
     whole = np.zeros((n_classes, 1 << BITS))
-    whole[:, used] = w
-    return Softmax(whole, b)
+    whole[:, used] = w.T
+    return Softmax(whole, b.astype(float))
 
 
 def variants(text: str, rng: random.Random, count: int) -> list[bytes]:
@@ -139,6 +204,7 @@ class Scanner:
     family: Softmax
     names: list[str]
     templates: list[list[set]]
+    least: float = 0.5  # the probability that a family needs
 
     def windows(self, lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(line, first word, end, logit) of each window of words that is a notice."""
@@ -157,15 +223,38 @@ class Scanner:
                 found.append((own[at], at - first[own[at]], at - first[own[at]] + size, z[at]))
         return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
 
-    def judged(self, texts: list[bytes]) -> list[tuple[str, float, float]]:
-        """(family or UNKNOWN, probability, the largest share of one of its templates) of each notice."""
+    def judged(self, texts: list[bytes]) -> list[tuple[str, float, int]]:
+        """(family or UNKNOWN, probability, the most word pairs that it has of one of its templates) of each notice."""
         out = []
         for text, p in zip(texts, self.family.probabilities(texts)):
             best = int(np.argmax(p))
             own = word_pairs(text)
-            share = max(len(t & own) / len(t) for t in self.templates[best]) if best < len(self.names) else 0.0
-            sure = p[best] >= MIN_PROB and share >= MIN_SHARE
-            out.append((self.names[best] if sure else UNKNOWN, float(p[best]), share))
+            share = self.share(best, own) if best < len(self.names) else 0.0
+            sure = p[best] >= self.least and share >= MIN_SHARE and told(self.names[best], text.decode(errors="replace"))
+            held = max(len(t & own) for t in self.templates[best]) if sure else 0
+            out.append((self.names[best] if sure else UNKNOWN, float(p[best]), held))
+        return out
+
+    def share(self, family: int, pairs: set) -> float:
+        """The largest share of one of the family's templates that pairs hold."""
+        return max(len(t & pairs) / len(t) for t in self.templates[family])
+
+    def across(self, lines: list[bytes], borders: list[int]) -> list[tuple[int, int, int, str, float]]:
+        """(line, begin, end in the next line, family, probability) of confirmed notices over the end of a line."""
+        tails = [[m.span() for m in WORDS.finditer(lines[k])][-WINDOWS[-1] :] for k in borders]
+        heads = [[m.span() for m in WORDS.finditer(lines[k + 1])][: WINDOWS[-1]] for k in borders]
+        joined = [lines[k][t[0][0] :] + b" " + lines[k + 1][: h[-1][1]] for k, t, h in zip(borders, tails, heads)]
+        line, begins, ends, logits = self.windows(joined)
+        over = np.array([begins[i] < len(tails[k]) < ends[i] for i, k in enumerate(line)], dtype=bool)
+        order = np.flatnonzero(over)[np.argsort(line[over], kind="stable")] if over.any() else np.zeros(0, np.int64)
+        out = []
+        for k in np.unique(line[order]):
+            mine = order[line[order] == k]
+            cut = tails[k][0][0]
+            size = len(lines[borders[k]]) - cut
+            for b, e, family, p in self.inside(joined[k], begins[mine], ends[mine], logits[mine]):
+                if family != UNKNOWN:
+                    out.append((borders[k], cut + b, e - size - 1, family, p))
         return out
 
     def inside(self, line: bytes, begins: np.ndarray, ends: np.ndarray, logits: np.ndarray) -> list[tuple[int, int, str, float]]:
@@ -188,8 +277,11 @@ class Scanner:
                 out.append((at[b[0]][0], at[e.max() - 1][1], UNKNOWN, judged[int(np.argmax(z))][1]))
         return sorted(out)
 
-    def scan(self, lines: list[bytes]) -> list[tuple[int, int, int, str, float]]:
-        """(line, begin, end, family or UNKNOWN, probability) of each notice; begin and end in bytes of the line."""
+    def scan(self, lines: list[bytes], follows: list[bool]) -> list[tuple[int, int, int, int, str, float]]:
+        """(line, begin, last line, end, family or UNKNOWN, probability) of each notice; begin and end in bytes of the lines.
+
+        follows: whether a line continues the one before it.
+        """
         if not lines:
             return []
         whole = self.notice.probabilities(lines)[:, 1] > 0.5
@@ -204,55 +296,83 @@ class Scanner:
         plain = [int(k) for k in np.flatnonzero(whole) if k not in found]
         for k, (family, p, _) in zip(plain, self.judged([lines[k] for k in plain]) if plain else []):
             found[k] = [(0, len(lines[k]), family, p)]
-        return [(k, *x) for k in sorted(found) for x in found[k]]
+        known = {k for k, xs in found.items() if any(x[2] != UNKNOWN for x in xs)}
+        borders = [k for k in range(len(lines) - 1) if follows[k + 1] and n_words[k] and n_words[k + 1] and not {k, k + 1} & known]
+        wrapped = self.across(lines, borders) if borders else []
+        for k, *_ in wrapped:  # what was an unknown notice on one of the lines is this one
+            found.pop(k, None), found.pop(k + 1, None)
+        out = [(k, x[0], k, *x[1:]) for k, xs in found.items() for x in xs] + [(k, b, k + 1, *x) for k, b, *x in wrapped]
+        return sorted(out)
 
 
-def trained(negatives: list[bytes], seed: int = 3) -> Scanner:
-    rng = random.Random(seed)
-    names = sorted(TEMPLATES)
+def notices_of(names: list[str], rng: random.Random, count: int = 7) -> tuple[list[bytes], list[int]]:
+    """Variants of the families' templates and of notices of no family; the last class is the latter."""
     lines, classes = [], []
-    for c, name in enumerate(names):
-        for t in TEMPLATES[name]:
-            v = variants(t, rng, 12)
+    for c, templates in enumerate([*(TEMPLATES[n] for n in names), OTHER_NOTICES]):
+        for t in templates:
+            v = variants(t, rng, count)
             lines += v
             classes += [c] * len(v)
-    for t in OTHER_NOTICES:
-        v = variants(t, rng, 12)
-        lines += v
-        classes += [len(names)] * len(v)
-    held = np.array([rng.random() < 0.25 for _ in lines])
+    return lines, classes
+
+
+def calibrated(seed: int) -> tuple[float, float]:
+    """(temperature, least probability), from a model that has not seen every fourth family."""
+    rng = random.Random(seed)
+    names = list(TEMPLATES)
+    strange, familiar = names[::4], [n for n in names if n not in names[::4]]
+    lines, classes = notices_of(familiar, rng)
+    model = fitted_softmax(lines, np.array(classes), len(familiar) + 1)
+    mine, classes = notices_of(familiar, rng, 5)  # other variants
+    others = [v for n in strange for t in TEMPLATES[n] for v in variants(t, rng, 3)]
     y = np.array(classes)
-    family = fitted_softmax([x for x, h in zip(lines, held) if not h], y[~held], len(names) + 1)
-    out_of_fit = [x for x, h in zip(lines, held) if h]
 
     def loss(temperature: float) -> float:
-        family.temperature = temperature
-        return -float(np.mean(np.log(family.probabilities(out_of_fit)[np.arange(held.sum()), y[held]] + 1e-12)))
+        model.temperature = temperature
+        return -float(np.mean(np.log(model.probabilities(mine)[np.arange(len(y)), y] + 1e-12)))
+
+    model.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+    right = model.probabilities(mine)[y < len(familiar)][np.arange((y < len(familiar)).sum()), y[y < len(familiar)]]
+    wrong = model.probabilities(others)[:, :-1].max(axis=1)
+    steps = [k / 20 for k in range(2, 16)]
+    best = max(steps, key=lambda x: (float(np.mean(right >= x)) + 0.5 * float(np.mean(wrong < x)), -x))
+    return model.temperature, best
 
-    family.temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0), key=loss)
+
+def trained(negatives: list[bytes], seed: int = 3) -> Scanner:
+    rng = random.Random(seed)
+    names = list(TEMPLATES)
+    temperature, least = calibrated(seed)
+    lines, classes = notices_of(names, rng)
+    family = fitted_softmax(lines, np.array(classes), len(names) + 1)
+    family.temperature = temperature
+    templates = [[word_pairs(t.encode()) for t in TEMPLATES[n]] for n in names]
+    known = [t for ts in templates for t in ts]
+    plain = [x for x in negatives if not any(2 * len(t & pairs) >= len(t) for pairs in [word_pairs(x)] for t in known)]
+    words = [w.decode(errors="replace") for x in plain[:200] for w in x.split()[:3]] or ["word"]
+    uses = [form.format(rng.choice(words)).encode() for form in OTHER_USES for _ in range(6)]
     parts = []
-    for text in negatives:
-        words = text.split()
+    for text in plain + uses:
+        tokens = text.split()
         for size in WINDOWS:
-            at = rng.randrange(max(1, len(words) - size + 1))
-            parts.append(b" ".join(words[at : at + size]))
-    others = negatives + parts
+            at = rng.randrange(max(1, len(tokens) - size + 1))
+            parts.append(b" ".join(tokens[at : at + size]))
+    others = plain + uses + parts
     notice = fitted_softmax(lines + others, np.array([1] * len(lines) + [0] * len(others)), 2)
-    return Scanner(notice, family, names, [[word_pairs(t.encode()) for t in TEMPLATES[n]] for n in names])
+    return Scanner(notice, family, names, templates, least)
 
 
 def fitted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_negatives: int = 2000) -> Scanner:
-    """A scanner whose other-text class is the corpus; at most max_negatives of its paragraphs are fitted."""
+    """A scanner whose other-text class is the corpus; about max_negatives of its lines are fitted."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).filter("text is not null")
-    share = min(1.0, max_negatives / max(rows.count(), 1))
-    cues = "(?i)licen[sc]e|copyright|creative commons|cc.?by|cc0|rights reserved|spdx"
-    chosen = rows.filter(F.pmod(F.xxhash64("id", F.lit("negative")), F.lit(1_000_000)) < int(1_000_000 * share))
-    lines = chosen.select(F.explode(F.split("text", "\n")).alias("line")).filter((F.length("line") > 0) & ~F.col("line").rlike(cues))
-    return trained([r[0].encode() for r in lines.limit(max_negatives).collect()] or [b"word"])
+    lines = rows.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length(F.trim("line")) > 0)
+    n = rows.agg(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0  # lines, blank ones too
+    chosen = lines.filter(sampled(sample_bound(max_negatives, n), "negative", "id", "at")).select(F.substring("line", 1, LINE).alias("line"))
+    return trained([r[0].encode() for r in chosen.collect()] or [b"word"])
 
 
 def scanned(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, and for each notice of the text: line, begin and end (characters), family, probability."""
+    """id_col, and for each notice of the text: its first line, begin and end (characters), family, probability."""
     rows = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(scanner)  # of fixed size
     item = pa.struct([("line", pa.int32()), ("begin", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("probability", pa.float64())])
@@ -261,13 +381,14 @@ def scanned(df: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: s
         for batch, texts in slices(batches):
             parts = [t.split(b"\n") for t in texts]
             first = np.cumsum([0, *map(len, parts)])
+            follows = [k > 0 and bool(ls[k].strip()) and bool(ls[k - 1].strip()) for ls in parts for k in range(len(ls))]
             notices: list[list[dict]] = [[] for _ in texts]
-            for k, b, e, family, p in shared.value.scan([x for ls in parts for x in ls]):
+            for k, b, last, e, family, p in shared.value.scan([x for ls in parts for x in ls], follows):
                 doc = int(np.searchsorted(first, k, side="right")) - 1
-                line = k - int(first[doc])
-                text = parts[doc][line]
-                begin = sum(len(x.decode()) + 1 for x in parts[doc][:line]) + len(text[:b].decode())
-                notices[doc].append({"line": line, "begin": begin, "end": begin + len(text[b:e].decode()), "family": family, "probability": p})
+                line, last = k - int(first[doc]), last - int(first[doc])
+                starts = lambda x: sum(len(y.decode()) + 1 for y in parts[doc][:x])  # noqa: B023, E731
+                begin = starts(line) + len(parts[doc][line][:b].decode())
+                notices[doc].append({"line": line, "begin": begin, "end": starts(last) + len(parts[doc][last][:e].decode()), "family": family, "probability": p})
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(notices, pa.list_(item))], names=[id_col, "notices"])
 
     schema = T.StructType([T.StructField(id_col, rows.schema["id"].dataType), T.StructField("notices", T.ArrayType(T._parse_datatype_string("struct<line:int,begin:bigint,end:bigint,family:string,probability:double>")))])

@@ -9,6 +9,10 @@ removed:
   (|, >, », •) are 3 words long at most on average;
 * boilerplate: it holds a stock phrase of web pages.
 
+Signs of structure (marks, separators, short lines) hold in any language;
+terminal marks are those of many scripts. The menu words and phrases are English
+and one more sign only.
+
 A document is then rejected if what is left has under half of its word
 characters, or if the base rules reject it: under MIN_WORDS words, or over half
 of the words in 3-word windows that occur twice or more in the text.
@@ -25,6 +29,7 @@ table gives an empty result. Input columns other than id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,9 +43,9 @@ SHORT_LINE = 10
 MENU = ["home", "menu", "login", "log in", "sign in", "sign up", "register", "next", "previous", "next page", "back to top", "read more", "share", "contact", "contact us", "about", "about us", "search", "sitemap", "skip to content"]
 PHRASES = ["cookie", "javascript", "all rights reserved", "terms of use", "terms of service", "privacy policy", "lorem ipsum", "subscribe to our newsletter", "click here", "add to cart", "powered by"]
 
-TERMINAL = r"""[.!?…:;。"'”’»)\]][ \t\x0b\x0c\r]*$"""
+# Marks that end a sentence or quote, in Latin, Greek, CJK, Arabic, Devanagari, Armenian and Ethiopic script.
+TERMINAL = """.!?…:;。！？；：｡｣」』）"'”’»›)]؟۔।॥։።፧"""
 MENU_LINE = r"(?i)^[^\p{L}]*(" + "|".join(MENU) + r")[^\p{L}]*$"
-PHRASE = r"(?i)(" + "|".join(PHRASES) + ")"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -66,16 +71,19 @@ def line_passes(line: Column) -> Column:
     n = F.size(words_of(line))
     marks = _count(line, SYMBOLS)
     parts = _count(line, "|>»•") + 1
-    punctuation = (marks * 5 <= n) & (_count(line, "!") * 5 <= n + 4) & (line.rlike(TERMINAL) | (n >= SHORT_LINE))
+    ended = F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1))) > 0
+    punctuation = (marks * 5 <= n) & (_count(line, "!") * 5 <= n + 4) & ((n >= SHORT_LINE) | ended)
     navigation = ~line.rlike(MENU_LINE) & ((parts == 1) | (parts * 3 < n))
-    return punctuation & navigation & ~line.rlike(PHRASE)
+    return punctuation & navigation & ~let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in PHRASES]))
 
 
 def repeated_words(words: Column, window: int = 3) -> Column:
     """How many words lie in windows that occur twice or more.
 
     Window hashes are sorted with their positions in the low bits; neighbours
-    with the same whole hash are repeats.
+    with the same whole hash are repeats. Should two unlike windows share the
+    bits that are left of the hash, one may stand between equal ones; then
+    hashes and positions are sorted as pairs.
     """
 
     def covered(w: Column) -> Column:
@@ -85,7 +93,19 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
     def ranked(h: Column, low: Column) -> Column:
         packed = F.transform(h, lambda x, i: x.bitwiseAND(F.bitwise_not(low)).bitwiseOR(i.cast("long")))
-        return let(F.sort_array(packed), lambda s: spread(h, low, s))
+        return let(F.sort_array(packed), lambda s: F.when(mixed(h, low, s), in_pairs(h, low)).otherwise(spread(h, low, s)))
+
+    def mixed(h: Column, low: Column, s: Column) -> Column:
+        def odd(p: Column, k: Column) -> Column:
+            q = F.get(s, k + 1)
+            same = p.bitwiseXOR(q).bitwiseAND(F.bitwise_not(low)) == 0
+            return same & (h[p.bitwiseAND(low).cast("int")] != h[q.bitwiseAND(low).cast("int")])
+
+        return F.exists(F.transform(s, lambda p, k: F.when(k < F.size(s) - 1, odd(p, k)).otherwise(False)), lambda x: x)
+
+    def in_pairs(h: Column, low: Column) -> Column:
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("x"), i.cast("long").alias("i"))))
+        return spread(h, low, F.transform(pairs, lambda p: p["i"]))
 
     def spread(h: Column, low: Column, s: Column) -> Column:
         last = F.size(s) - 1

@@ -1,10 +1,14 @@
-"""Exact dedup by a tree-merge of digest runs by hash aggregation, in DataFrame operations only.
-
-Every input partition is a run. In each round, groups of fan_in runs are
-exchanged and merged: equal digests meet, and the merged run keeps the
-identifier to retain and the number of rows. After ceil(log_fan_in(runs))
-rounds one run is left. A digest counts as equal only if SHA-256, length and a
-second 64-bit hash agree ("verified"), at every level.
+"""Exact dedup by a tree-merge of sorted digest runs, in DataFrame operations only.
+
+Every input partition is a run: its distinct digests, each with the identifier
+to retain and the number of rows. In each round, groups of fan_in runs are
+merged. A run of level l is cut into fan_in**l digest ranges, so that pieces
+stay as large as one run of level 0; a piece is exchanged with those of the
+partner runs that hold its range (a butterfly, which is what binomial rounds
+are without one task for the root), sorted by digest, and merged in one pass
+over equal neighbours. After ceil(log_fan_in(runs)) rounds one run is left,
+whose pieces are in digest order. A digest counts as equal only if SHA-256,
+length and a second 64-bit hash agree ("verified"), at every level.
 
 A text that a third of all rows share is one row per run before the first
 exchange, and on the way back its rows are joined run by run, so no task gets
@@ -53,13 +57,14 @@ def merged_runs(runs: DataFrame, keep: str = "smallest", fan_in: int = 16) -> tu
     best = F.min if keep == "smallest" else F.max
     n_runs = (runs.agg(F.max("run")).first()[0] or 0) + 1
     first = runs.groupBy("run", *KEYS).agg(best(F.struct("id", "rid")).alias("winner"), F.count("*").alias("n"))
-    level = first
+    level, ranges = first, 1
+    head = F.conv(F.substring(F.hex("digest"), 1, 8), 16, 10).cast("long")  # 32 bits
     while n_runs > 1:
-        level = (
-            level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-            .groupBy("run", *KEYS)
-            .agg(best("winner").alias("winner"), F.sum("n").alias("n"))
-        )
+        ranges *= fan_in
+        piece = F.shiftright(head * min(ranges, 1 << 30), 32)
+        exchanged = level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int")).withColumn("piece", piece).repartition("run", "piece")
+        merged = exchanged.sortWithinPartitions("run", "piece", *KEYS).groupBy("run", "piece", *KEYS)
+        level = merged.agg(best("winner").alias("winner"), F.sum("n").alias("n")).drop("piece")
         n_runs = -(-n_runs // fan_in)
     return first, level
 
@@ -86,8 +91,8 @@ def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows that repeat id and text come out once.
     """
-    # plain keys for join and grouping, so that both use one exchange of the rows
-    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).alias("_id")
+    # plain keys for join and grouping, so that both use one exchange of the rows; a null is no id's text
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{id_col}`").cast("string")), F.lit("")).alias("_id")
     kept = exact_dedup(df, id_col, text_col, keep, None, fan_in).filter("kept").select(key, F.unhex("text_sha256").alias("_digest"))
     rows = df.select(
         F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"),

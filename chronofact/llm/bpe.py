@@ -70,7 +70,7 @@ class WordBPE:
         self._split = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         self._words = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self._alphabet = byte_alphabet()
-        self._encoded = Bounded(500_000, self._encode_word)
+        self._encoded = Bounded(96 << 20, self._encode_word)
         pieces = [t.encode() + b" " for t in shown]
         self._blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self._offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])

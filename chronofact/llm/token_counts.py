@@ -4,9 +4,10 @@ No piece holds a space mark after another character, so a text falls into
 chunks (space marks and the characters up to the next one) that are encoded
 apart. Within a chunk, dynamic programming over prefixes gives the count at
 each place: of the pieces that end there exactly one is compatible with the
-last piece of the prefix before it. Sums over chunks give the count at every
-prefix of the text, so truncation and budget questions need no encoding.
-Distinct chunks are counted once for a worker process, within a bounded cache.
+last piece of the prefix before it. The counts at all places of a chunk are
+stored; with the sums over chunks they are the count at every prefix of the
+text, so truncation and budget questions are looked up, and nothing is encoded
+again. Distinct chunks are counted once for a worker process, within a bounded cache.
 
 Cases: a null text counts as empty (0 tokens). Null ids, repeated rows and
 empty tables pass through, a result row for each input row. Very long texts are
@@ -16,10 +17,12 @@ processed whole. Input columns other than id and text are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
+from operator import itemgetter
 
 import pyarrow as pa
 import sentencepiece
@@ -30,6 +33,7 @@ from pyspark.sql import types as T
 from ._bpe_core import Bounded, Merges
 
 SPACE = "▁"
+LAST = itemgetter(-1)
 
 
 def merge_tables(model: sentencepiece.SentencePieceProcessor) -> Merges:
@@ -62,7 +66,7 @@ class PrefixCounter:
         singles = {t for t in self.merges.tokens if len(t) == 1}
         self._known = singles
         self._chunks = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._counts = Bounded(500_000, lambda c: self.prefixes(c)[-1])
+        self.stored = Bounded(96 << 20, lambda c: array("I", self.prefixes(c)))
 
     def chunks(self, text: str) -> list[str]:
         return self._chunks.findall(SPACE + text.replace(" ", SPACE)) if text else []
@@ -84,34 +88,34 @@ class PrefixCounter:
         return out
 
     def count(self, text: str) -> int:
-        return sum(map(self._counts.__getitem__, self.chunks(text)))
+        return sum(map(LAST, map(self.stored.__getitem__, self.chunks(text))))
 
     def table(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
 
 class PrefixTable:
-    """Counts at chunk ends, and within chunks on demand; places count characters of the text."""
+    """The stored counts of a text's prefixes; places count characters of the text."""
 
     def __init__(self, counter: PrefixCounter, text: str):
-        self.counter, self.chunks = counter, counter.chunks(text)
-        self.ends = [0, *accumulate(map(len, self.chunks))]  # with the space mark before the text
-        self.sums = [0, *accumulate(counter._counts[c] for c in self.chunks)]
+        chunks = counter.chunks(text)
+        self.inner = list(map(counter.stored.__getitem__, chunks))  # equal chunks share one array
+        self.ends = [0, *accumulate(map(len, chunks))]  # with the space mark before the text
+        self.sums = [0, *accumulate(map(LAST, self.inner))]
 
     def at(self, place: int) -> int:
         """The number of tokens of text[:place]."""
         if place <= 0:
             return 0
         k = bisect_left(self.ends, place + 1)
-        return self.sums[k - 1] + self.counter.prefixes(self.chunks[k - 1])[place + 1 - self.ends[k - 1]]
+        return self.sums[k - 1] + self.inner[k - 1][place + 1 - self.ends[k - 1]]
 
     def longest(self, budget: int) -> int:
         """The longest prefix, in characters, that has at most budget tokens."""
-        if not self.chunks or self.sums[-1] <= budget:
+        if not self.inner or self.sums[-1] <= budget:
             return max(0, self.ends[-1] - 1)
         k = bisect_left(self.sums, budget + 1)  # the first chunk end beyond the budget
-        inner = self.counter.prefixes(self.chunks[k - 1])
-        most = max(i for i, c in enumerate(inner) if self.sums[k - 1] + c <= budget)
+        most = max(i for i, c in enumerate(self.inner[k - 1]) if self.sums[k - 1] + c <= budget)
         return max(0, self.ends[k - 1] + most - 1)
 
 
@@ -140,7 +144,7 @@ def token_counts(df: DataFrame, model_path: str, limit: int = 4096, id_col: str
                 batch = whole.slice(at, 512)
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 counts = [counter.count(t) for t in texts]
-                fit = [len(t) if n <= limit else counter.table(t).longest(limit) for t, n in zip(texts, counts)]
+                fit = [counter.table(t).longest(limit) if n > limit else len(t) for t, n in zip(texts, counts)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),

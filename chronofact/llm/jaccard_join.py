@@ -384,4 +384,5 @@ def deduplicated(df: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_co
     found = near_duplicates(df, n, num, den, id_col, text_col)
     key = [F.col(f"`{id_col}`").alias("_id"), F.col("text_key").alias("_key")]
     gone = found.select(*key, "first").filter(F.col("_id").isNotNull()).groupBy("_id", "_key").agg(F.max("first").alias("kept")).filter("not kept")
-    return df.join(gone, (F.col(f"`{id_col}`") == F.col("_id")) & (F.xxhash64(F.col(f"`{text_col}`")) == F.col("_key")), "left_anti")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), F.col(f"`{id_col}`").alias("_own"), F.xxhash64(F.col(f"`{text_col}`")).alias("_text"))
+    return rows.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_text") == F.col("_key")), "left_anti").select("_row.*")

@@ -8,6 +8,7 @@ as the next one's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronofact.llm import bpe, dedup, importance, jaccard_join, mixing
 from chronofact.llm._common import staged
@@ -32,7 +33,8 @@ def jaccard_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the temperature mixture of their sources takes them."""
-    return mixing.mixed(docs, max_repeats=MAX_REPEATS).select(*docs.columns)
+    rows = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("_doc"))
+    return mixing.mixed(rows, max_repeats=MAX_REPEATS).select("_doc.*")
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,9 +56,26 @@ def test_sharding(spark, rows):
     assert sharding.external_shuffle(df.limit(0), 7).count() == 0
 
 
+def test_fisher_yates(spark):
+    """The native permutation against a plain one with the same draws."""
+    n, seed, bucket = 37, 42, 5
+    draws = spark.range(1).select(F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(bucket).cast("long"), F.lit(k)), F.lit(k).cast("long")) for k in range(1, n + 1)])).first()[0]
+    rest, out = list(range(n)), []
+    for left in range(n, 0, -1):
+        j = draws[left - 1]
+        out.append(rest[j])
+        rest[j] = rest[left - 1]
+        rest.pop()
+    found = spark.range(1).select(sharding.fisher_yates(F.lit(n), F.lit(seed), F.lit(bucket).cast("long"))).first()[0]
+    assert found == out and sorted(out) == list(range(n)) and out != list(range(n))
+    df = docs_of(spark, [(i, "x" * (i % 7), "en", "a") for i in range(500)]).coalesce(1)
+    once, again = (sorted((r.shard, r.slot, r[2]) for r in sharding.external_shuffle(d, 4, bucket_rows=20).select("shard", "slot", "row.doc_id").collect()) for d in (df, df))
+    assert once == again
+
+
 def test_written_shards(spark, rows, tmp_path):
     df = docs_of(spark, rows)
-    sharding.write_shards(sharding.external_shuffle(df, 3), str(tmp_path / "s"))
+    sharding.write_shards(sharding.external_shuffle(df, 3), str(tmp_path / "s"), file_rows=5)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == len(rows) and back.select("shard").distinct().count() == 3
 
@@ -87,6 +104,47 @@ def test_quality_rules(spark, rows):
     assert quality_rules.quality_rules(df.limit(0)).count() == 0
 
 
+def plain_line_passes(line):
+    words = WORD.findall(line)
+    marks = sum(c in quality_rules.SYMBOLS for c in line)
+    parts = sum(c in "|>»•" for c in line) + 1
+    ended = line.rstrip(" \t\n\x0b\x0c\r")[-1:] in set(quality_rules.TERMINAL)
+    punctuation = marks * 5 <= len(words) and line.count("!") * 5 <= len(words) + 4 and (ended or len(words) >= quality_rules.SHORT_LINE)
+    bare = re.sub(r"^[^a-zà-ÿ]*|[^a-zà-ÿ]*$", "", line.lower())
+    navigation = bare not in quality_rules.MENU and (parts == 1 or parts * 3 < len(words))
+    return punctuation and navigation and not any(p in line.lower() for p in quality_rules.PHRASES)
+
+
+def test_quality_lines_against_a_plain_version(spark):
+    rng = random.Random(31)
+    ends = ["", ".", "!", "。", "؟", "…", " .", ".\t", "|", "|", ">", "!!", '"', "»"]
+    bits = ["word", "Home", "menu", "Cookie", "click here", "a|b", "#", "*", "!", "ü", "漢字。", "All Rights Reserved", "x", "y z w"]
+    texts = ["\n".join(" ".join(rng.choice(bits) for _ in range(rng.randint(1, 14))) + rng.choice(ends) for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    texts += ["[Home]", "- log in -", "  Back to Top  ", "short line", "शब्द है।", "x\r\ny.", "a b c\x0b."]
+    for r in quality_rules.quality_rules(docs_of(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect():
+        lines = [x for x in texts[r.doc_id].split("\n") if WORD.search(x)]
+        good = [x for x in lines if plain_line_passes(x)]
+        assert r.clean_text == "\n".join(good), texts[r.doc_id]
+        left, solid = (sum(len(w) for x in xs for w in WORD.findall(x)) for xs in (good, lines))
+        assert r.left_chars == left and r.kept == (not r.base_failed and 100 * left >= 50 * solid)
+
+
+def test_repeated_windows_whose_hashes_share_their_high_bits(spark):
+    """With few bits of the hash left, unlike windows meet; counts stay exact."""
+    rng = random.Random(32)
+    words = [rng.choice(["a", "b", "c", "d", "e", "f", "g"]) for _ in range(400)]
+    slow = F.split(F.lit(" ".join(words)), " ")
+    real = F.xxhash64
+    try:
+        quality_rules.F.xxhash64 = lambda *c: F.shiftrightunsigned(real(*c), 50)  # so all high bits are equal
+        found = spark.range(1).select(quality_rules.repeated_words(slow)).first()[0]
+    finally:
+        quality_rules.F.xxhash64 = real
+    hashes = [r for r in spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(397)), lambda i: F.shiftrightunsigned(F.xxhash64(F.get(slow, i), F.get(slow, i + 1), F.get(slow, i + 2)), 50))).first()[0]]
+    counts = Counter(hashes)
+    assert found == len({k for i, h in enumerate(hashes) if counts[h] > 1 for k in (i, i + 1, i + 2)})
+
+
 def brute_components(rows, n, num, den):
     sets = []
     for i, t, *_ in rows:
@@ -138,6 +196,76 @@ def test_jaccard_join_of_a_quoted_passage(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(made, 3, 80, 100)
 
 
+def changed(rng, words, k):
+    out = list(words)
+    for at in rng.sample(range(len(out)), k):
+        out[at] = "".join(rng.choice("xyzw") for _ in range(8))
+    return out
+
+
+def compared(spark, made, n, num, **how):
+    found = jaccard_join.near_duplicates(docs_of(spark, made), n, num, 100, **how).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == brute_components(made, n, num, 100)
+    return found
+
+
+def test_jaccard_join_of_long_sets(spark):
+    """Sets of over COARSE n-grams, whose overlaps are counted in fragments, near the limit on both sides."""
+    rng = random.Random(21)
+    base = prose(rng, 11_000, "abcdefghijklmn").split(" ")
+    made = [(k, " ".join(changed(rng, base, c)), "en", "a") for k, c in enumerate([0, 100, 230, 260, 300, 500])]
+    made += [(100 + k, " ".join(changed(rng, base[:c], 40)), "en", "a") for k, c in enumerate([9_500, 8_700])]
+    compared(spark, made, 5, 80)
+
+
+def test_jaccard_join_of_a_large_group_of_near_copies(spark):
+    rng = random.Random(22)
+    base = prose(rng, 60, "abcdefghijklmn").split(" ")
+    made = [(k, " ".join(changed(rng, base, rng.randint(0, 3))), "en", "a") for k in range(1000)]
+    made += [(2000 + k, " ".join([*base[:20], *prose(rng, 25, "hijklmn").split(" ")]), "en", "a") for k in range(60)]
+    found = compared(spark, made, 5, 80)
+    assert max(Counter(r.component_id for r in found).values()) > 300
+
+
+def test_jaccard_join_at_the_limit(spark):
+    """9m n-grams in common of 10m in all but m: similar; with one more that differs: not."""
+    rng = random.Random(23)
+    made = []
+    for k, m in enumerate([2, 5, 9, 30, 77, 200]):
+        words = prose(rng, 9 * m + 4, "abcdefghijklmn").split(" ")
+        size = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+        for extra in (0, 1):
+            tail = size // 9 + extra  # words at the end that differ take as many n-grams
+            made.append((100 * k + extra + 1, " ".join([*words[: len(words) - tail], *changed(rng, words[-tail:], tail)]), "en", "a"))
+        made.append((100 * k, " ".join(words), "en", "a"))
+    compared(spark, made, 5, 80)
+
+
+def test_jaccard_join_with_few_fragments(spark):
+    """So few fragments that sets fill too few: single n-grams are added for their sizes."""
+    rng = random.Random(24)
+    made = []
+    for k in range(25):
+        base = prose(rng, rng.choice([70, 118, 126, 130, 150, 240, 255, 300, 500, 640]), "abcdefghijklmn").split(" ")
+        made += [(10 * k + c, " ".join(changed(rng, base, rng.randint(0, len(base) // 40))), "en", "a") for c in range(4)]
+    df = docs_of(spark, made)
+    assert jaccard_join.features(df, "doc_id", "text", 5, 80, 100, 1.05).filter("deficient >= 0").count() > 10
+    assert jaccard_join.features(df, "doc_id", "text", 5, 80, 100).filter("deficient >= 0").count() == 0
+    compared(spark, made, 5, 80, spread=1.05)
+
+
+def test_near_duplicates_rows_with_one_id(spark):
+    """Decisions are by row: versions of an id stand or fall by their own text."""
+    base = [f"w{k}" for k in range(60)]
+    near = [*base[:-1], "other"]
+    made = [(1, " ".join(base), "en", "a"), (1, "a text of its own", "en", "a"), (2, " ".join(near), "en", "a"), (2, "one more alone", "en", "a"), (None, " ".join(base), "en", "a"), (None, None, "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (2, " ".join(near), "en", "a")]
+    df = clashing(docs_of(spark, made))
+    kept = jaccard_join.deduplicated(df)
+    assert kept.columns == df.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter((i, t) for i, t, *_ in made if t != " ".join(near))
+    assert jaccard_join.deduplicated(df.limit(0)).count() == 0
+
+
 def test_jaccard_join_of_nothing(spark):
     df = docs_of(spark, [(1, "a", "en", "a")])
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
@@ -181,7 +309,7 @@ def labelled(spark, n=300):
     rows, labels = [], []
     for i in range(n):
         words = prose(rng, rng.randint(20, 90)).split(" ")
-        bad = i % 6 == 0
+        bad = i % 5 == 0
         rows.append((i, " ".join(w + "***" if bad else w for w in words), "en", "a"))
         if i % 2 == 0:
             labels.append((i, 0 if bad else 1, 0))
@@ -190,34 +318,74 @@ def labelled(spark, n=300):
 
 def test_importance(spark):
     rows, labels = labelled(spark)
-    odd = [(None, "good words here", "en", "a"), (9001, None, "en", "a"), (9002, "", "en", "a")]
+    odd = [(None, "good words here", "en", "a"), (9001, None, "en", "a"), (9002, "", "en", "a"), (9003, "*** " * 300_000, "en", "a"), (0, rows[0][1], "en", "a")]
     df = clashing(docs_of(spark, rows + odd)).drop("kept", "key")
-    model = importance.fitted(df, labels)
-    out = importance.scored(df, model).collect()
+    weights = importance.fitted(df, labels)
+    good = sum(r.quality for r in labels.collect())
+    p = good / 150
+    assert math.isclose(weights.share, p + 2 * math.sqrt(p * (1 - p) / 150))
+    out = importance.scored(df, weights).collect()
     kept = {r.doc_id: r.kept for r in out}
-    assert all(kept[i] == (i % 6 != 0) for i in range(300))
+    assert all(kept[i] for i in range(300) if i % 5)
+    assert sum(kept[i] for i in range(300) if i % 5 == 0) < 40
     assert not kept[9001] and not kept[9002]
-    above = sum(r.n_features > 0 and r.log_weight >= model.threshold for r in out)
     keys = sorted((r.key for r in out if r.key is not None), reverse=True)
-    assert model.least == keys[above - 1]
-    assert {r.doc_id for r in importance.selected(df, model).collect()} == {i for i, k in kept.items() if k}
+    assert weights.least == keys[math.ceil(weights.share * len(out)) - 1]
+    assert Counter(r.doc_id for r in importance.selected(df, weights).collect()) == Counter(r.doc_id for r in out if r.kept)
     empty = importance.fitted(df.limit(0), labels.limit(0))
     assert importance.scored(df.limit(0), empty).count() == 0
+    names = df.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id")))
+    named = importance.scored(names, importance.fitted(names, labels.withColumn("doc_id", F.concat(F.lit("x"), F.col("doc_id"))))).collect()
+    assert all(r.kept for r in named if r.doc_id and r.doc_id[1:].isdigit() and int(r.doc_id[1:]) < 300 and int(r.doc_id[1:]) % 5)
 
 
-def test_importance_weights_are_the_counts_ratio(spark):
+def test_importance_keys_are_weights_and_noise(spark):
+    """Held against a plain version of ratios, temperature, and top k."""
     rows, labels = labelled(spark, 60)
     df = docs_of(spark, rows)
-    model = importance.fitted(df, labels)
-    good = {r.doc_id for r in labels.filter("quality = 1").collect() if r.doc_id % 4}
+    weights = importance.fitted(df, labels, keep_share=0.5)
+    good = {r.doc_id for r in labels.filter("quality = 1").collect()}
     raw, target = Counter(), Counter()
-    for i, t, *_ in rows:
-        at = importance.buckets([t.encode()])[0].tolist()
+    bags = {i: importance.buckets([t.encode()])[0].tolist() for i, t, *_ in rows}
+    for i, at in bags.items():
         raw.update(at)
         target.update(at if i in good else [])
     scale = sum(target.values()) / sum(raw.values())
-    for b in raw:
-        assert math.isclose(model.ratio[b], math.log((target[b] + importance.PRIOR) / (raw[b] * scale + importance.PRIOR)))
+    ratio = {b: math.log((target[b] + importance.PRIOR) / (raw[b] * scale + importance.PRIOR)) for b in raw}
+    out = {r.doc_id: r for r in importance.scored(df, weights).collect()}
+    for i, at in bags.items():
+        assert math.isclose(out[i].log_weight, sum(ratio[b] for b in at) * min(1, importance.TEMPERED / len(at)), abs_tol=1e-9)
+    best = sorted(out.values(), key=lambda r: -r.key)[:30]
+    assert {r.doc_id for r in best} == {i for i, r in out.items() if r.kept}
+
+
+def test_importance_sampling_follows_the_weights():
+    """Texts near the k-th key are drawn by chance: their rates rise with the weight, and no threshold gives the choice."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    weight, k = np.sort(rng.normal(0, 1, 2000)), 1000
+    rate = np.zeros(2000)
+    for seed in range(60):
+        key = weight + importance.noise(rng.integers(-(2**62), 2**62, 2000), seed)
+        rate += key >= np.sort(key)[-k]
+    rate /= 60
+    fifths = [rate[j : j + 400].mean() for j in range(0, 2000, 400)]
+    assert fifths == sorted(fifths) and 0.05 < fifths[0] < 0.4 and 0.6 < fifths[4] < 0.98
+    # inclusion of a draw without replacement: 1 - exp(-w * c), with c so that k are drawn
+    low, high = 0.0, 100.0
+    for _ in range(60):
+        c = (low + high) / 2
+        low, high = (c, high) if (1 - np.exp(-np.exp(weight) * c)).sum() < k else (low, c)
+    assert np.abs([fifths[j] - (1 - np.exp(-np.exp(weight[400 * j : 400 * j + 400]) * c)).mean() for j in range(5)]).max() < 0.03
+
+
+def test_sample_bounds_at_any_size():
+    from chronofact.llm._common import sample_bound
+
+    for n in (1, 10, 20_001, 10**8, 10**11, 10**15):
+        share = sample_bound(20_000, n) / 2**63
+        assert 0 < share <= 1 and math.isclose(share, min(1, 20_000 / n), rel_tol=1e-6)
 
 
 def test_kth_largest(spark):
@@ -252,6 +420,7 @@ def test_bpe_against_the_library(spark, odd_texts):
         assert r.ids_sha256 == hashlib.sha256(packed).hexdigest()
         assert r.decoded == library.decode(ids, skip_special_tokens=False)
     assert bpe.encoded(df.limit(0), path).count() == 0
+    assert Counter(r.doc_id for r in bpe.encoded(clashing(df.limit(9)), path).collect()) == Counter(range(9))
 
 
 def test_token_counts_against_the_library(spark, odd_texts):
@@ -263,6 +432,7 @@ def test_token_counts_against_the_library(spark, odd_texts):
     for r in token_counts.token_counts(df, path, 20).collect():
         t = odd_texts[r.doc_id] or ""
         assert r.n_tokens == len(library.encode(t)) and r.n_bytes == len(t.encode()) and r.over_limit == (r.n_tokens > 20)
+        assert len(library.encode(t[: r.fit_chars])) <= 20 and (r.fit_chars == len(t) or len(t) > 300 or len(library.encode(t[: r.fit_chars + 1])) > 20)
     counter = token_counts.loaded(path)
     for t in [t for t in odd_texts[:80] if t]:
         table, each = counter.table(t), [len(library.encode(t[:i])) for i in range(len(t) + 1)]
@@ -312,10 +482,69 @@ def test_language_filter_has_no_false_negatives():
     known = [rng.integers(0, 2**63, 500, dtype=np.uint64) for _ in range(3)]
     f = langid.BitSlicedFilter(["a", "b", "c"], [1, 1, 1], known, table_bits=14)
     for k, g in enumerate(known):
-        assert np.all(f.languages(g) >> np.uint8(k) & np.uint8(1))
+        assert np.all(f.languages(g)[0] >> np.uint8(k) & np.uint8(1))
     other = rng.integers(0, 2**63, 20_000, dtype=np.uint64)
     for k in range(3):
-        assert abs(np.mean(f.languages(other) >> np.uint8(k) & np.uint8(1)) - f.false[k]) < 0.01
+        assert abs(np.mean(f.languages(other)[0] >> np.uint8(k) & np.uint8(1)) - f.false[k]) < 0.01
+
+
+def plain_grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    joined = " " + " ".join(letters.split()) + " "
+    return [joined[i : i + n] for n in langid.SIZES for i in range(len(joined) - n + 1)] if letters.split() else []
+
+
+def test_language_counts_and_predictions_against_plain_ones(spark):
+    rng = random.Random(13)
+    letters = {"en": "abcdefé", "de": "hijkdefü", "xx": "opqrsde"}
+    rows = [(i, prose(rng, 25, letters[lang]) + rng.choice([".", " 12!", ""]), lang, "a") for i in range(90) for lang in [rng.choice(list(letters))]]
+    training = docs_of(spark, rows[:60]).select(F.col("doc_id").alias("id"), "text", "lang")
+    chosen, sizes = langid.training_rows(training, 20_000, 256)
+    counts = defaultdict(Counter)
+    for _, t, lang, _ in rows[:60]:
+        counts[lang].update(plain_grams(t))
+    assert sizes == Counter(lang for _, _, lang, _ in rows[:60])
+    assert Counter((r.lang, r.n) for r in langid.gram_counts(chosen).collect()) == Counter((lang, n) for lang, c in counts.items() for n in c.values())
+    kept = {lang: {g: n for g, n in c.items() if n >= 3} for lang, c in counts.items()}
+    part = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in kept.items()}
+    known = {lang: {g for g, x in p.items() if x * 20 >= max(q.get(g, 0) for q in part.values())} for lang, p in part.items()}
+    model = langid.trained(training)
+    assert {lang: len(g) for lang, g in known.items()} == {lang: sum(n for n in [len(known[lang])]) for lang in model.langs}
+    for r in langid.identified(docs_of(spark, rows[60:]), model).collect():
+        own = plain_grams(next(t for i, t, *_ in rows if i == r.doc_id))
+        hits = {lang: sum(g in known[lang] for g in own) for lang in sorted(known)}
+        best = max(sorted(hits), key=lambda x: hits[x])
+        assert r.lang_pred == best and abs(r.score - hits[best] / sum(hits.values())) < 0.02
+
+
+def test_languages_are_many_and_sampled_apart(spark):
+    alphabet = [chr(c) for c in range(0x4E00, 0x4E00 + 400)]
+    rng = random.Random(5)
+    text = lambda k: prose(rng, 30, alphabet[4 * k : 4 * k + 4])
+    rows = [(i, text(k), f"l{k:03}", "a") for i, k in enumerate([k for k in range(100) for _ in range(4)] + [0] * 2000)]
+    training = docs_of(spark, rows).select(F.col("doc_id").alias("id"), "text", "lang")
+    chosen, sizes = langid.training_rows(training, 2000, 256)
+    by = {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()}
+    assert len(sizes) == 100 and sizes["l000"] == 2004 and by["l000"] < 60 and all(by[f"l{k:03}"] == 4 for k in range(1, 100))
+    model = langid.trained(training, max_rows=2000)
+    assert len(model.langs) == 100 and len(model.tables) == 2
+    tests = docs_of(spark, [(k, text(k), None, "a") for k in range(100)])
+    assert all(r.lang_pred == f"l{r.doc_id:03}" for r in langid.identified(tests, model).collect())
+    assert len(langid.trained(training, max_langs=5).langs) == 5
+
+
+def test_long_texts_are_done_in_parts(monkeypatch):
+    from chronofact.llm import _text
+
+    text = ("one two  three\nfour " * 50 + "x" * 300 + " five").encode()
+    whole = _text.word_hashes([b"a b", text, b""], lower=True)
+    monkeypatch.setattr(_text, "SLICE_BYTES", 64)
+    monkeypatch.setattr(_text.parts_of, "__defaults__", (64,))
+    parts = _text.word_hashes([b"a b", text, b""], lower=True)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+    assert b"".join(_text.parts_of(text)) == text and max(map(len, _text.parts_of(text))) <= 310
+    t = "ab cd" * 50
+    assert "".join(langid.pieces(t, 20)) == t and max(map(len, langid.pieces(t, 20))) <= 20
 
 
 def test_license_scans(spark):
@@ -336,6 +565,71 @@ def test_license_scans(spark):
     assert licenses.scanned(df.limit(0), licenses.fitted(df)).count() == 0
 
 
+@pytest.fixture(scope="module")
+def scanner():
+    rng = random.Random(28)
+    return licenses.trained([prose(rng, 20, "abcdefghijklmnop").encode() for _ in range(300)])
+
+
+def families(scanner, *lines):
+    return [x[4] for x in scanner.scan([t.encode() for t in lines], [k > 0 for k in range(len(lines))])]
+
+
+@pytest.mark.parametrize(
+    "line,family",
+    [
+        ("This program is licensed under the GNU General Public License, version 2.", "gpl-2.0"),
+        ("This work is licensed under the GNU General Public License, version 3", "gpl-3.0"),
+        ("SPDX-License-Identifier: GPL-2.0", "gpl-2.0"),
+        ("SPDX-License-Identifier: LGPL-2.1", "lgpl-2.1"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "bsd-2-clause"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"),
+        ("Licensed under CC BY 3.0", "cc-by-3.0"),
+        ("Licensed under CC BY-NC-SA 2.0", "cc-by-nc-sa-2.0"),
+        ("Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd-4.0"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2.0"),
+    ],
+)
+def test_license_families(scanner, line, family):
+    assert families(scanner, line) == [family]
+
+
+@pytest.mark.parametrize(
+    "line,allowed",
+    [
+        ("GNU General Public License, version 2", {"gpl-2.0"}),
+        ("CC BY 3.0", {"cc-by-3.0"}),
+        ("Apache License, Version 1.1", {"apache-1.1"}),
+        ("Released under the Apache License 1.0", set()),
+        ("Mozilla Public License, version 1.1", {"mpl-1.1"}),
+        ("Attribution-NoDerivatives 4.0", {"cc-by-nd-4.0"}),
+        ("BSD-2-Clause", {"bsd-2-clause"}),
+        ("Licensed under the Gnat Community License, version 3", set()),
+    ],
+)
+def test_license_kin_is_told_apart(scanner, line, allowed):
+    assert set(families(scanner, line)) <= allowed | {licenses.UNKNOWN}
+
+
+@pytest.mark.parametrize("line", ["He lost his driver's license on the way home", "Next year the town will license new taxi drivers", "free of charge, the museum gave the public a general tour", "she released the dog under the old bridge"])
+def test_a_notices_words_are_no_notice(scanner, line):
+    assert families(scanner, line) == []
+
+
+def test_license_notice_over_two_lines(scanner):
+    assert families(scanner, "It says: This work is licensed under the GNU", "General Public License, version 2. And so on") == ["gpl-2.0"]
+    assert families(scanner, "It says: This work is licensed under the GNU", "", "General Public License, version 2. And so on") != ["gpl-2.0"]
+
+
+def test_template_comparison_is_the_share_of_pairs(scanner):
+    text = b"licensed under the Apache License, Version 2.0"
+    k = scanner.names.index("apache-2.0")
+    pairs = licenses.word_pairs(text)
+    plain = lambda t: {p for w in [re.findall(r"[a-z0-9]+|[^a-z0-9\s]+", t.lower())] for p in zip(w, w[1:])}
+    own = plain(text.decode())
+    assert math.isclose(scanner.share(k, pairs), max(len(plain(t) & own) / len(plain(t)) for t in licenses.TEMPLATES["apache-2.0"]))
+
+
 def test_license_notices_inside_long_lines(spark):
     rng = random.Random(18)
     notices = {"mit": "Released under the MIT License.", "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.", "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.", "unknown": "Use is subject to the license agreement."}
@@ -377,6 +671,13 @@ def test_mixing(spark, rows):
     for r in out:
         mixed[r.source] += r.n_tokens
         assert 0 <= r.mix_key < 1 and r.n_tokens == len(WORD.findall(r.text or ""))
+    blocks = max(r.block for r in out) + 1
+    assert blocks == math.ceil(mixing.planned_repeats(list(tokens.values()), 2.5, None)[1] / 300)
+    held = Counter((r.source, r.block) for r in out for _ in range(r.n_tokens))
+    for s, total in mixed.items():
+        most = max((len(WORD.findall(t or "")) for _, t, _, x in made if x == s), default=0)
+        for b in range(blocks):  # each source has its budget in each block, but for a document at each end
+            assert abs(held[s, b] - total / blocks) <= 2 * most + 1
     _, _, _, repeats = mixing.planned_repeats(list(tokens.values()), 2.5, None)
     longest = {s: max(len(WORD.findall(t or "")) for _, t, _, x in made if x == s) for s in tokens}
     for s, r in zip(tokens, repeats):
@@ -388,6 +689,23 @@ def test_mixing(spark, rows):
         mixing.mixed(df, max_sources=2)
 
 
+def test_mixing_blocks_are_those_of_running_sums(spark):
+    """Blocks against a plain walk along each source's layout."""
+    rng = random.Random(3)
+    made = [(i, prose(rng, rng.randint(0, 30)), "en", rng.choice("aab")) for i in range(300)]
+    out = mixing.mixed(docs_of(spark, made), max_repeats=1.7, block_tokens=500).collect()
+    again = docs_of(spark, [(r.doc_id, r.text, r.source, str(r.epoch)) for r in out]).withColumnRenamed("lang", "own").withColumn("epoch", F.col("source").cast("int"))
+    hashes = {(r.doc_id, r.epoch): r.h for r in again.select("doc_id", "epoch", mixing._hash(F.col("own"), F.col("epoch"), F.col("doc_id"), 11).alias("h")).collect()}
+    blocks = max(r.block for r in out) + 1
+    assert blocks > 5
+    for s in "ab":
+        mine = sorted((r for r in out if r.source == s), key=lambda r: (r.epoch, hashes[r.doc_id, r.epoch]))
+        total, run = sum(r.n_tokens for r in mine), 0
+        for r in mine:
+            assert r.block == min(blocks - 1, run * blocks // total)
+            run += r.n_tokens
+
+
 def test_word_hashes():
     from chronofact.llm._text import word_hashes
 

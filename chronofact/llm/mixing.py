@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import cut, own_rows
+from ._common import cut, own_rows, staged
 from .quality_rules import SPACE
 
 MOST_BITS = 16  # of a hash that tell its bin
@@ -174,7 +174,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     last = _partial_ends(hashed.withColumn("bin", _bin(F.col("h"), MOST_BITS)))
     layout = cut(laid(narrow, F.col("source"), F.col("id"), last).select(F.col("_i").alias("i"), "epoch", F.col("_bin").alias("bin"), F.col("_h").alias("h"), "n"))
     used = layout.groupBy("i").agg(F.sum("n").alias("total")).filter("total > 0")
-    cuts = cut(_cuts(layout.join(F.broadcast(used), "i"), blocks))  # used has at most max_sources rows
+    # used has at most max_sources rows; cuts is a file table, whose size tells the planner whether to broadcast it
+    cuts = staged(_cuts(layout.join(F.broadcast(used), "i"), blocks), "cuts")
     named = cuts.select(F.col("i").alias("_i"), F.col("epoch").alias("_epoch"), F.col("bin").alias("_b"), "first", "cuts")
     placed = laid(own_rows(df, *ADDED).withColumn("n_tokens", tokens), source, ident, last)
     placed = placed.join(named.select(F.col("_i").alias("_j"), "_epoch", "_b", F.col("first").alias("_first"), F.col("cuts").alias("_cuts")), (F.col("_i") == F.col("_j")) & (F.col("epoch") == F.col("_epoch")) & (F.col("_bin") == F.col("_b")), "left")

@@ -7,7 +7,6 @@ others sets, the rest add. Dimension tables are relation indexes.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from ..operators import patterns as P
 from ..operators import query as Q
 from ..operators import temporal as T
 from ..operators.index import Index
-from ..shared import shared_dir
+from ..shared import own_folder
 from ..sources import database, store
 from ..sources import log as logs
 
@@ -607,7 +606,7 @@ def branch_commit(spark, d):
 @registered(f"WITH {DATOMS} SELECT * FROM {state_sql(None)}")
 def snapshot_and_tail(spark, d):
     """A stored snapshot as of a transaction, and the log behind it."""
-    log, path = event_log(spark, d), f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    log, path = event_log(spark, d), own_folder(spark, "snapshots")
     logs.store_snapshot(T.propositions(event_datoms(spark, d, N), N), path, N)
     t, stored = logs.latest_snapshot(spark, path)
     facts = stored.select(F.lit(t).cast("long").alias("t"), F.lit(0).cast("long").alias("seq"), F.lit("add").alias("op"), "e", "a", "v")
@@ -627,7 +626,7 @@ def merged_streams(spark, d):
 @registered(f"WITH {LOG} SELECT t, CAST(seq AS INTEGER) AS seq, op, CAST(e AS VARCHAR) AS e, a, CAST(v AS VARCHAR) AS v FROM log WHERE t < {N}")
 def log_recovery(spark, d):
     """A log of JSON lines, one of which was cut off."""
-    log, path = event_log(spark, d), f"{shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    log, path = event_log(spark, d), own_folder(spark, "log")
     line = F.to_json(F.struct("t", F.col("seq").cast("int").alias("seq"), "op", F.col("e").cast("string").alias("e"), "a", F.col("v").cast("string").alias("v")))
     lines = log.repartitionByRange("seq").sortWithinPartitions("seq")
     lines.select(F.when(F.col("seq") == 10 * N + 5, F.substring(line, 1, 20)).otherwise(line).alias("value")).write.text(path)
@@ -637,7 +636,7 @@ def log_recovery(spark, d):
 @registered(f"WITH {DATOMS} SELECT DISTINCT v, e FROM {state_sql(None)} WHERE a = 'purchase'")
 def stored_view(spark, d):
     """A view that is stored and kept up with its log in two steps."""
-    path = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    path = own_folder(spark, "store")
     log = event_log(spark, d)
     logs.append(log.select("t", F.col("seq").cast("int").alias("seq"), "op", "e", "a", "v"), f"{path}/log")
     kept = store.Store(spark, path, {"bought": (["v", "e"], lambda s: s.filter("a = 'purchase'").select("v", "e"), True)})

@@ -17,7 +17,7 @@ notices, as far as they do not overlap; a span without any is "unknown" if one
 of its windows has p > 0.9. So such a span may hold up to a window of text
 beside it. A paragraph is a run of lines that are not blank: a notice that is
 wrapped over two lines of it is found in the windows across their border, if
-its family is confirmed.
+its family is confirmed. An unknown notice has at least half of its words once.
 
 Training: the templates are made by rule from names and versions; the models
 are fitted on variants of them, on notices of no family, on sentences that use
@@ -54,6 +54,7 @@ BITS = 15
 MIN_SHARE = 0.6
 UNKNOWN = "unknown"
 WINDOWS = (6, 9, 14, 20)  # words; the longest template has 18
+DENSE = 8 << 20  # cells of a training table that is held whole
 LONG = 40
 LINE = 4000  # characters of a line that are fitted at most; scans are of whole lines
 SPAN_LOGIT = 2.2  # p > 0.9: with so many windows, a few of prose are over 0.5
@@ -142,6 +143,12 @@ def paragraph_features(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.n
     return at, own, np.bincount(own, minlength=len(lines))
 
 
+def varied(line: bytes) -> bool:
+    """Whether at least half of the words are different ones; a word said over and over is no notice of its own."""
+    words = line.lower().split()
+    return 2 * len(set(words)) >= len(words)
+
+
 def word_pairs(line: bytes) -> set:
     words = word_hashes([line], lower=True, marks=True)[0].tolist()
     return set(zip(words, words[1:])) or set(words)
@@ -168,17 +175,23 @@ def fitted_softmax(lines: list[bytes], classes: np.ndarray, n_classes: int, step
     """Full-batch gradient descent with momentum."""
     at, own, n = paragraph_features(lines)
     used, compact = np.unique(at, return_inverse=True)
-    x = np.zeros((len(lines), len(used)), dtype=np.float32)
-    np.add.at(x, (own, compact), (1.0 / np.maximum(n, 1)[own]).astype(np.float32))
+    value = (1.0 / np.maximum(n, 1)[own]).astype(np.float32)
+    if len(lines) * len(used) <= DENSE:
+        x = np.zeros((len(lines), len(used)), dtype=np.float32)
+        np.add.at(x, (own, compact), value)
+        forward, backward = (lambda w: x @ w), (lambda miss: x.T @ miss)
+    else:  # by their features, column by column
+        summed = lambda to, by, m, size: np.stack([np.bincount(to, weights=m[by, c] * value, minlength=size) for c in range(m.shape[1])], axis=1).astype(np.float32)
+        forward, backward = (lambda w: summed(own, compact, w, len(lines))), (lambda miss: summed(compact, own, miss, len(used)))
     w, b = np.zeros((len(used), n_classes), dtype=np.float32), np.zeros(n_classes, dtype=np.float32)
     speed = np.zeros_like(w)
     truth = np.eye(n_classes, dtype=np.float32)[classes]
     scale = np.float32(rate * max(1.0, n_classes / 12))  # a class has its share of the lines only
     for _ in range(steps):
-        z = x @ w + b
+        z = forward(w) + b
         e = np.exp(z - z.max(axis=1, keepdims=True))
         miss = (e / e.sum(axis=1, keepdims=True) - truth) / np.float32(len(lines))
-        speed = np.float32(0.9) * speed - scale * (x.T @ miss + np.float32(decay) * w)
+        speed = np.float32(0.9) * speed - scale * (backward(miss) + np.float32(decay) * w)
         w = w + speed
         b = b - scale / 40 * miss.sum(axis=0)
     whole = np.zeros((n_classes, 1 << BITS))
@@ -273,8 +286,9 @@ class Scanner:
                 if not own.any():
                     own[:] = True
                     out.append((at[b[k]][0], at[e[k] - 1][1], *judged[k][:2]))
-            if not sure and z.max() > SPAN_LOGIT:
-                out.append((at[b[0]][0], at[e.max() - 1][1], UNKNOWN, judged[int(np.argmax(z))][1]))
+            top = int(np.argmax(z))
+            if not sure and z[top] > SPAN_LOGIT and varied(line[at[b[top]][0] : at[e[top] - 1][1]]):
+                out.append((at[b[0]][0], at[e.max() - 1][1], UNKNOWN, judged[top][1]))
         return sorted(out)
 
     def scan(self, lines: list[bytes], follows: list[bool]) -> list[tuple[int, int, int, int, str, float]]:
@@ -295,7 +309,8 @@ class Scanner:
         found = {k: x for k, x in found.items() if x}
         plain = [int(k) for k in np.flatnonzero(whole) if k not in found]
         for k, (family, p, _) in zip(plain, self.judged([lines[k] for k in plain]) if plain else []):
-            found[k] = [(0, len(lines[k]), family, p)]
+            if family != UNKNOWN or varied(lines[k]):
+                found[k] = [(0, len(lines[k]), family, p)]
         known = {k for k, xs in found.items() if any(x[2] != UNKNOWN for x in xs)}
         borders = [k for k in range(len(lines) - 1) if follows[k + 1] and n_words[k] and n_words[k + 1] and not {k, k + 1} & known]
         wrapped = self.across(lines, borders) if borders else []

@@ -155,13 +155,14 @@ def _judged(text: Column) -> Column:
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_left: int = 50) -> DataFrame:
     """Counts, verdicts and the cleaned text of each row of df; min_left in percent."""
-    judged = df.select(F.col(f"`{id_col}`").alias(id_col), _judged(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("j"))
-    fails = (F.col("j.n_words") < MIN_WORDS) | (100 * F.col("j.n_repeat_words") > 50 * F.col("j.n_words"))
+    # a generator, since the planner would work out a struct anew for each of its fields
+    judged = df.select(F.col(f"`{id_col}`").alias("_id"), F.inline(F.array(_judged(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))))
+    fails = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return judged.select(
-        id_col,
-        *[F.col(f"j.{c}") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
+        F.col("_id").alias(id_col),
+        *("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"),
         fails.alias("base_failed"),
-        (~fails & (100 * F.col("j.left_chars") >= min_left * F.col("j.word_chars"))).alias("kept"),
-        F.col("j.left_chars").alias("left_chars"),
-        F.col("j.clean_text").alias("clean_text"),
+        (~fails & (100 * F.col("left_chars") >= min_left * F.col("word_chars"))).alias("kept"),
+        "left_chars",
+        "clean_text",
     )

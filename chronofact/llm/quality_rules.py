@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACE = " \t\n\x0b\x0c\r"
+SPACES = r"\x20\x09-\x0D"  # the same in a character class
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SHORT_LINE = 10
@@ -55,24 +56,26 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """Maximal runs of characters other than the six ASCII spaces."""
-    return F.array_remove(F.split(F.translate(text, SPACE, " " * len(SPACE)), " "), "")
+    return F.array_remove(F.split(text, f"[{SPACES}]+"), "")
 
 
 def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    # not by translate(), which looks each character up in a map of strings
+    return F.regexp_count(text, F.lit(f"[{characters}]"))
 
 
-def _solid(text: Column) -> Column:
-    return F.translate(text, SPACE, "")
+def _has_word(line: Column) -> Column:
+    return line.rlike(f"[^{SPACES}]")
 
 
 def line_passes(line: Column) -> Column:
     """Whether a line with a word meets the three rules."""
-    n = F.size(words_of(line))
+    n = F.regexp_count(line, F.lit(f"[^{SPACES}]+"))
     marks = _count(line, SYMBOLS)
     parts = _count(line, "|>»•") + 1
     ended = F.instr(F.lit(TERMINAL), F.right(F.rtrim(line, F.lit(SPACE)), F.lit(1))) > 0
-    punctuation = (marks * 5 <= n) & (_count(line, "!") * 5 <= n + 4) & ((n >= SHORT_LINE) | ended)
+    calls = F.length(line) - F.length(F.replace(line, F.lit("!"), F.lit("")))
+    punctuation = (marks * 5 <= n) & (calls * 5 <= n + 4) & ((n >= SHORT_LINE) | ended)
     navigation = ~line.rlike(MENU_LINE) & ((parts == 1) | (parts * 3 < n))
     return punctuation & navigation & ~let(F.lower(line), lambda x: reduce(lambda a, b: a | b, [x.contains(p) for p in PHRASES]))
 
@@ -131,15 +134,15 @@ def repeated_words(words: Column, window: int = 3) -> Column:
 
 def _judged(text: Column) -> Column:
     def with_words(w: Column) -> Column:
-        lines = F.filter(F.split(text, "\n"), lambda x: _solid(x) != "")
+        lines = F.filter(F.split(text, "\n"), _has_word)
         return let(lines, lambda ls: with_lines(w, ls))
 
     def with_lines(w: Column, ls: Column) -> Column:
         return let(F.filter(ls, line_passes), lambda good: result(w, ls, good))
 
     def result(w: Column, ls: Column, good: Column) -> Column:
-        solid = F.length(_solid(text))
-        left = F.length(_solid(F.array_join(good, "")))
+        solid = F.length(F.array_join(w, ""))
+        left = F.length(F.regexp_replace(F.array_join(good, ""), f"[{SPACES}]+", ""))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             solid.cast("long").alias("word_chars"),

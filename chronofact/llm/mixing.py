@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._common import cut, own_rows, staged
-from .quality_rules import SPACE
+from .quality_rules import SPACES
 
 MOST_BITS = 16  # of a hash that tell its bin
 ADDED = ("n_tokens", "epoch", "mix_key", "block")
@@ -48,8 +48,7 @@ ADDED = ("n_tokens", "epoch", "mix_key", "block")
 
 def words(text: Column) -> Column:
     """The number of words, as the measure of tokens."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE))
-    return F.size(F.array_remove(F.split(spaced, " "), "")).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACES}]+")).cast("long")
 
 
 def weights(shares: list[float], a: float) -> list[float]:

@@ -42,9 +42,9 @@ class Bounded(dict):
 
 
 class Merges:
-    """tokens: text by number. rank: -1 for what no merge makes. parts: (left, right) of the last merge."""
+    """tokens: text by number. rank: -1 for what no merge makes. parts: (left, right) of the last merge. limit: of the pairs remembered."""
 
-    def __init__(self, tokens: list[str], rank: list[int], parts: list[tuple[int, int] | None]):
+    def __init__(self, tokens: list[str], rank: list[int], parts: list[tuple[int, int] | None], limit: int = 96 << 20):
         self.tokens, self.rank, self.parts = tokens, rank, parts
         self.merged = {p: rank[k] for k, p in enumerate(parts) if p is not None}
         self.lengths = [len(t) for t in tokens]
@@ -53,7 +53,7 @@ class Merges:
             if t:
                 self.trie.add_word(t, k)
         self.trie.make_automaton()
-        self._fits = Bounded(96 << 20, lambda pair: self._compatible(*pair))
+        self._fits = Bounded(limit, lambda pair: self._compatible(*pair))
 
     def _compatible(self, a: int, b: int) -> bool:
         limit, rank, parts = float("inf"), self.rank, self.parts

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..shared import cut, shared_dir
 
-__all__ = ["Scratch", "cut", "offsets", "own_rows", "sample_bound", "sampled", "shared_dir", "staged", "swept"]
+__all__ = ["Scratch", "cut", "few_rows", "offsets", "own_rows", "released", "sample_bound", "sampled", "shared_dir", "staged", "swept"]
 
 
 def staged(df: DataFrame, tag: str) -> DataFrame:
@@ -67,6 +70,24 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def released() -> None:
+    """Give the system what this Python worker has freed; workers outlive their tasks, and allocators keep freed memory."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
+def few_rows(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A table that is part of the plan. createDataFrame(list) would start Python workers in the executors, which stay for a minute.
+
+    Only for strings and numbers; other types go by createDataFrame(list).
+    """
+    if not all(isinstance(f.dataType, (T.StringType, T.IntegralType)) for f in schema):
+        return spark.createDataFrame(rows, schema)
+    kinds = {T.ByteType: pa.int8(), T.ShortType: pa.int16(), T.IntegerType: pa.int32(), T.LongType: pa.int64()}
+    columns = [pa.array([r[k] for r in rows], kinds.get(type(f.dataType), pa.string())) for k, f in enumerate(schema)]
+    return spark.createDataFrame(pa.table(columns, names=schema.names), schema)
+
+
 def sample_bound(most: int, rows: int) -> int:
     """Of rows with uniform 63-bit hashes, most (or all, if there are fewer) are expected below it."""
     return (1 << 63) - 1 if rows <= most else (most << 63) // rows

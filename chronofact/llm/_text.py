@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -96,7 +96,7 @@ def _word_hashes(texts: list[bytes], lower: bool, marks: bool) -> tuple[np.ndarr
     return spans_hash(data, begins, ends), np.searchsorted(begins, first)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text_at: int = 1, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+def slices(batches: Iterable[pa.RecordBatch], text_at: int = 1, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with about size bytes of text each, and their texts as UTF-8 (null: empty)."""
     for batch in batches:
         column = batch.column(text_at).cast(pa.large_binary())

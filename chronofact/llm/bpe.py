@@ -30,7 +30,10 @@ from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from ._bpe_core import Bounded, Merges
+from ._common import released
+from ._text import slices
 
+CACHE = 32 << 20  # bytes of a generation of words, and of pairs, in each worker: two generations each, and two workers to an executor of two cores
 END = "\U0010fffd"  # stands for the end-of-word mark inside token texts
 WHITE = "\t-\r \x85\xa0  -     　"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"  # fixed values of the vocabulary's word pattern
@@ -60,7 +63,7 @@ class WordBPE:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             k = vocab[a + b]
             rank[k], parts[k] = r, (vocab[a], vocab[b])
-        self.merges = Merges(texts, rank, parts)
+        self.merges = Merges(texts, rank, parts, CACHE)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, k in self.special.items():
             shown[k] = t
@@ -70,7 +73,7 @@ class WordBPE:
         self._split = pre_tokenizers.Split(Regex(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]), "removed", invert=True)
         self._words = regex.compile(rf"{CONTRACTIONS}|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
         self._alphabet = byte_alphabet()
-        self._encoded = Bounded(96 << 20, self._encode_word)
+        self._encoded = Bounded(CACHE, self._encode_word)
         pieces = [t.encode() + b" " for t in shown]
         self._blob = np.frombuffer(b"".join(pieces), dtype=np.uint8)
         self._offsets = np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
@@ -110,7 +113,9 @@ class WordBPE:
 
 @lru_cache(maxsize=2)
 def loaded(path: str) -> WordBPE:
-    return WordBPE(path)
+    coder = WordBPE(path)
+    released()
+    return coder
 
 
 def encoded(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
@@ -128,11 +133,11 @@ def encoded(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         coder = loaded(vocab_path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch = whole.slice(at, 512)
-                ids = [coder.encode(t or "") for t in batch.column(1).to_pylist()]
+            for batch, raw in slices((whole,)):
+                ids = [coder.encode(t.decode()) for t in raw]
                 texts = [coder.decode(x) for x in ids]
                 columns = {
                     id_col: batch.column(0),
@@ -145,5 +150,6 @@ def encoded(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: st
                 if "decoded" in outputs:
                     columns["decoded"] = pa.array([x.decode() for x in texts], pa.string())
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            released()
 
     return rows.mapInArrow(run, schema)

@@ -174,10 +174,13 @@ def selected(df: DataFrame, weights: Weights, id_col: str = "doc_id", text_col:
     """The kept rows of df, with df's columns; weighed once more where they are read, so texts are not shuffled."""
     scored(df, weights, id_col, text_col)
     shared = df.sparkSession.sparkContext.broadcast(weights)
-    rows = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.col(f"`{text_col}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    text_at = [c.lower() for c in df.columns].index(text_col.lower())
+    # texts are sent once, in their rows, since Spark's batches are by rows
+    rows = df.select(F.xxhash64(F.col(f"`{id_col}`")).alias("h"), F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in slices(batches):
+        named = (pa.RecordBatch.from_arrays([b.column(0), b.column(1).field(text_at), b.column(1)], names=["h", "text", "row"]) for b in batches)
+        for batch, texts in slices(named):
             _, n, key = shared.value.weigh(_hashed(batch.column(0)), texts)
             yield batch.select(["row"]).filter(pa.array((n > 0) & (key >= shared.value.least)))
 

@@ -38,8 +38,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import cut, own_rows, staged
+from ._common import cut, few_rows, own_rows, staged
 from .quality_rules import SPACES
 
 MOST_BITS = 16  # of a hash that tell its bin
@@ -146,7 +147,7 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     spark = df.sparkSession
     if tokens is None:
         tokens = words(F.col(f"`{text_col}`"))
-    source, ident, kind = F.col(f"`{source_col}`"), F.col(f"`{id_col}`"), df.schema[source_col].dataType.simpleString()
+    source, ident, kind = F.col(f"`{source_col}`"), F.col(f"`{id_col}`"), df.schema[source_col].dataType
     narrow = cut(df.select(source.alias("source"), ident.alias("id"), tokens.alias("n")))
     sums = narrow.groupBy("source").agg(F.sum("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
@@ -159,7 +160,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
     def table(last: dict[int, int]) -> DataFrame:
         rows = [(i, s, int(r), int((r - int(r)) * t), last.get(i, -1)) for i, (s, r, t) in enumerate(zip(names, repeats, totals))]
-        return F.broadcast(spark.createDataFrame(rows, f"_i int, _source {kind}, _whole int, _room long, _last long"))  # at most max_sources rows
+        fields = [("_i", T.IntegerType()), ("_source", kind), ("_whole", T.IntegerType()), ("_room", T.LongType()), ("_last", T.LongType())]
+        return F.broadcast(few_rows(spark, rows, T.StructType([T.StructField(*f) for f in fields])))  # at most max_sources rows
 
     def laid(rows: DataFrame, name: Column, key: Column, last: dict[int, int]) -> DataFrame:
         """rows once for each pass that takes them, with _i, epoch, _h and _bin."""

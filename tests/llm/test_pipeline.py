@@ -121,3 +121,35 @@ def test_run_on_nothing(spark, folder, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_holds_little_in_a_worker():
+    """What a million distinct words leave in a worker: about 30 MB of words beside the dicts' tables, not some 90."""
+    import itertools
+    import sys
+
+    from chronofact.llm import bpe
+
+    coder = bpe.WordBPE(corpus_pipeline.vocabulary("word_bpe_49k.json"))
+    words = map("".join, itertools.product("abcdefghij", repeat=6))
+    while some := list(itertools.islice(words, 20_000)):
+        coder.encode(" ".join(some))
+    held = sum(sys.getsizeof(k) + sys.getsizeof(v) for part in (coder._encoded, coder._encoded.old) for k, v in part.items())
+    assert 0 < held < 45 << 20
+    assert coder._encoded.limit + coder.merges._fits.limit <= 64 << 20
+
+
+def test_mixing_starts_no_python_workers(spark, folder):
+    """The table of sources is a part of the plan, not an RDD that Python workers make."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    plan = corpus_pipeline.mix_sources(spark, docs, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LocalRelation" in plan and "LogicalRDD" not in plan
+
+
+def test_selection_sends_texts_once(spark, folder):
+    """The rows that go to Python hold the text within the row only."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    out = corpus_pipeline.quality_classifier(spark, docs, folder)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    sent = next(line for line in plan.splitlines() if "struct(doc_id" in line)
+    assert " AS text#" not in sent

@@ -140,7 +140,7 @@ def bgp_cross_product(spark, d):
 
 @registered("SELECT c_nationkey AS x FROM customer JOIN supplier ON s_nationkey = c_nationkey")
 def bgp_scalar_join(spark, d):
-    return Q.query([(relation(spark, d, "customer", ["c_nationkey"]), ["?x"]), (relation(spark, d, "supplier", ["s_nationkey"]), ["?x"])])
+    return Q.query([(relation(spark, d, "customer", ["c_nationkey"]), ["?x"]), (relation(spark, d, "supplier", ["s_nationkey"]), ["?x"])], spread=True)
 
 
 # Patterns and scans

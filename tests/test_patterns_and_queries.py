@@ -140,3 +140,34 @@ def test_values_that_look_like_variables(spark):
     for value, n in (("?x", 1), ("*", 2), (None, 4)):
         assert [r.n for r in index.substitutions([P.Constant(value), "?n"]).collect()] == [n]
     assert [r.n for r in index.substitutions(P.substitute(["?a", "?n"], {"a": "?x"})).collect()] == [1]
+
+
+def nations(spark, folder, customers, suppliers):
+    """Customers and suppliers of nation 7 mostly, and a nation that only one side has, and nulls."""
+    spark.createDataFrame([(7, "P"), (8, "Q")], "n_nationkey int, n_name string").write.parquet(f"{folder}/nation.parquet")
+    for name, n, c in (("customer", customers, "c"), ("supplier", suppliers, "s")):
+        key = {"customer": "c_custkey", "supplier": "s_suppkey"}[name]
+        nation = F.when(F.col("id") == 0, 8 if c == "c" else 9).when(F.col("id") > 1, 7).cast("int")
+        spark.range(n + 2).select(F.col("id").alias(key), nation.alias(f"{c}_nationkey")).write.parquet(f"{folder}/{name}.parquet")
+
+
+def largest_share(df):
+    counts = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return sum(counts), max(counts) / sum(counts)
+
+
+def test_scalar_join_of_one_key_is_dealt_out(spark, tmp_path):
+    from chronofact.plans.queries import QUERIES
+
+    nations(spark, tmp_path, 1500, 1000)
+    out = QUERIES["bgp_scalar_join"](spark, str(tmp_path))
+    n, share = largest_share(out)
+    assert n == 1_500_000 and share < 0.5
+    assert [r["x"] for r in out.distinct().collect()] == [7]
+
+
+def test_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(Q, "RUN", 3)
+    monkeypatch.setattr(Q, "RUNS", 2)
+    df = spark.createDataFrame([("a", n) for n in range(1, 20)], "k string, n long")
+    assert sorted(r["n"] for r in Q.repeated(df, F.col("n")).collect()) == sorted(n for n in range(1, 20) for _ in range(n))

@@ -171,3 +171,14 @@ def test_repeated_rows(spark, monkeypatch):
     monkeypatch.setattr(Q, "RUNS", 2)
     df = spark.createDataFrame([("a", n) for n in range(1, 20)], "k string, n long")
     assert sorted(r["n"] for r in Q.repeated(df, F.col("n")).collect()) == sorted(n for n in range(1, 20) for _ in range(n))
+
+
+def test_merge_join_of_one_key_is_dealt_out(spark, tmp_path, monkeypatch):
+    from chronofact.plans.queries import QUERIES
+
+    nations(spark, tmp_path, 300, 200)
+    monkeypatch.setattr(Q, "BLOCK", 40)
+    out = QUERIES["merge_join_three"](spark, str(tmp_path))
+    n, share = largest_share(out)
+    assert n == 60_000 and share < 0.6
+    assert out.distinct().count() == n and [tuple(r) for r in out.select("n", "name").distinct().collect()] == [(7, "P")]

@@ -45,21 +45,25 @@ def expanded_sets(log: DataFrame) -> DataFrame:
     only: what is live then and not set again is removed. So no event is
     joined with all later sets.
     """
-    op = F.when(F.col("op") == "remove", "remove").otherwise("add")
     # backwards, so that the frame only grows and each row costs the same
     later = W.partitionBy("e", "a").orderBy(F.desc("t")).rangeBetween(W.unboundedPreceding, -1)
-    events = log.select("t", "e", "a", "v", op.alias("op"), F.min(F.when(F.col("op") == "set", F.col("t"))).over(later).alias("next"))
-    live = (
-        events.filter(F.col("next").isNotNull())
-        .groupBy("e", "a", "v", "next")
-        .agg(F.max(F.struct("t", "op")).alias("last"))
-        .filter(F.col("last.op") == "add")
-        .select(F.col("next").alias("t"), "e", "a", "v")
+    is_set = F.col("op") == "set"
+    op = F.when(F.col("op") == "remove", "remove").otherwise("add")
+    again = F.coalesce(is_set & F.col("e").isNotNull() & F.col("a").isNotNull() & F.col("v").isNotNull(), F.lit(False))  # nulls are no equal values
+    events = log.select("t", "e", "a", "v", op.alias("op"), again.alias("again"), F.min(F.when(is_set, F.col("t"))).over(later).alias("next"))
+    # an event stands at its own transaction and before its next set; all that follows stays in the window's partitions
+    here = F.struct(F.col("t").alias("at"), F.col("op").alias("own"), F.col("again").alias("again"), F.lit(None).cast(log.schema["t"].dataType).alias("since"), F.lit(None).cast("string").alias("was"))
+    before = F.struct(F.col("next").alias("at"), F.lit(None).cast("string").alias("own"), F.lit(False).alias("again"), F.col("t").alias("since"), F.col("op").alias("was"))
+    placed = events.select("e", "a", "v", F.explode(F.when(F.col("next").isNull(), F.array(here)).otherwise(F.array(here, before))).alias("p"))
+    merged = placed.groupBy("e", "a", "v", F.col("p.at").alias("t")).agg(
+        F.max(F.col("p.own") == "add").alias("adds"),
+        F.max(F.col("p.own") == "remove").alias("removes"),
+        F.max("p.again").alias("again"),
+        F.max(F.when(F.col("p.was").isNotNull(), F.struct("p.since", "p.was"))).alias("last"),
     )
-    sets = log.filter(F.col("op") == "set").select("t", "e", "a", "v").distinct()
-    removed = live.join(sets, ["t", "e", "a", "v"], "left_anti").withColumn("op", F.lit("remove"))
-    kept = events.select("t", "op", "e", "a", "v").distinct()
-    return kept.unionByName(removed).distinct()
+    ended = (F.col("last.was") == "add") & ~F.col("again")
+    ops = F.array_compact(F.array(F.when(F.col("adds"), "add"), F.when(F.coalesce(F.col("removes"), F.lit(False)) | F.coalesce(ended, F.lit(False)), "remove")))
+    return merged.select("t", F.explode(ops).alias("op"), "e", "a", "v")
 
 
 def permuted(datoms: DataFrame, order: str) -> DataFrame:

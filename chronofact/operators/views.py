@@ -22,9 +22,16 @@ from .temporal import as_of, propositions
 View = Callable[[DataFrame], DataFrame]
 
 
+FEW = 8  # values of an attribute that are compared as arrays in one row
+
+
+def tokens(text: Column) -> Column:
+    return F.array_distinct(tokenize(text))
+
+
 def full_text(state: DataFrame, text: str = "v") -> DataFrame:
     """(a, token, e)"""
-    return _tokens(state, F.array_distinct(tokenize(F.col(text))))
+    return _tokens(state, tokens(F.col(text)))
 
 
 def full_text_search(state: DataFrame, test: Callable[[Column], Column], text: str = "v") -> DataFrame:
@@ -41,6 +48,39 @@ def sequence_members(state: DataFrame, sequence: str = "v") -> DataFrame:
     return state.select(F.explode(F.array_distinct(F.col(sequence))).alias("element"), "a", "e").distinct()
 
 
+def full_text_delta(datoms: DataFrame, t: int) -> DataFrame:
+    """(a, token, e, op): full_text()'s changes at transaction t."""
+    return _exploded_delta(datoms, t, tokens, "token").select("a", "token", "e", "op")
+
+
+def sequence_delta(datoms: DataFrame, t: int) -> DataFrame:
+    """(element, a, e, op): sequence_members()' changes at transaction t."""
+    return _exploded_delta(datoms, t, F.array_distinct, "element").select("element", "a", "e", "op")
+
+
+def _exploded_delta(datoms: DataFrame, t: int, elements: Callable[[Column], Column], name: str) -> DataFrame:
+    """delta() of _exploded(), by entity and attribute: elements are compared where the values are, and not dealt out.
+
+    Up to FEW values are compared as arrays; elements of more of them are rows.
+    """
+    last = lambda upto: F.max(F.when(F.col("t") <= upto, F.struct("t", "op")))["op"]
+    states = as_of(datoms, t).groupBy("e", "a", "v").agg(last(t).alias("now"), last(t - 1).alias("then"))
+    live = states.select("e", "a", "v", *[F.coalesce(F.col(c) == "add", F.lit(False)).alias(c) for c in ("now", "then")]).filter("now or then")
+    attribute = W.partitionBy("e", "a")
+    live = live.withColumn("_changed", F.max(F.col("now") != F.col("then")).over(attribute)).withColumn("_n", F.count(F.lit(1)).over(attribute)).filter("_changed")
+
+    few = live.filter(F.col("_n") <= FEW).groupBy("e", "a").agg(F.collect_list(F.struct("v", "now", "then")).alias("_vs"))
+    found = lambda c: F.flatten(F.array_compact(F.transform(F.filter("_vs", lambda x: x[c]), lambda x: elements(x["v"])))).alias(c)
+    both = few.select("e", "a", found("now"), found("then"))
+    made = lambda x, y, op: F.transform(F.array_except(x, y), lambda v: F.struct(v.alias(name), F.lit(op).alias("op")))
+    steps = [made("now", "then", "add"), made("then", "now", "remove")]
+    small = both.select("e", "a", F.explode(F.concat(*steps)).alias("_x")).select("e", "a", f"_x.{name}", "_x.op")
+
+    rows = live.filter(F.col("_n") > FEW).select("e", "a", "now", "then", F.explode(elements(F.col("v"))).alias(name))
+    held = rows.groupBy("e", "a", name).agg(F.max("now").alias("now"), F.max("then").alias("then")).filter("now != then")
+    return small.unionByName(held.select("e", "a", name, F.when(F.col("now"), "add").otherwise("remove").alias("op")))
+
+
 def composite(state: DataFrame, columns: list[tuple[str, list[str], Callable[[Column], Column] | None]]) -> DataFrame:
     """Per entity the product of its columns' values, and e.
 

@@ -335,7 +335,7 @@ def full_text_delta_whole(spark, d):
     base = docs.select(F.lit(0).cast("long").alias("t"), F.lit("add").alias("op"), F.col("doc_id").alias("e"), F.lit("text").alias("a"), F.col("text").alias("v"))
     moved = docs.select((F.col("doc_id") + 1).alias("e"), "text").join(docs.select(F.col("doc_id").alias("e")), "e")
     news = moved.select(F.lit(1).cast("long").alias("t"), F.lit("set").alias("op"), "e", F.lit("text").alias("a"), F.col("text").alias("v"))
-    return views.delta(views.full_text, T.expanded_sets(base.unionByName(news)), 1)
+    return views.full_text_delta(T.expanded_sets(base.unionByName(news)), 1)
 
 
 @registered("SELECT DISTINCT unnest(list_transform(embedding, lambda x: CAST(floor(x * 10) AS BIGINT))) AS element, 'embedding' AS a, vec_id AS e FROM embeddings")
@@ -693,7 +693,7 @@ def sequence_delta(spark, d):
     base = rows.select(F.lit(0).cast("long").alias("t"), F.lit("add").alias("op"), F.col("vec_id").alias("e"), F.lit("embedding").alias("a"), "v")
     moved = rows.select((F.col("vec_id") + 1).alias("e"), "v").join(rows.select(F.col("vec_id").alias("e")), "e")
     news = moved.select(F.lit(1).cast("long").alias("t"), F.lit("set").alias("op"), "e", F.lit("embedding").alias("a"), "v")
-    return views.delta(views.sequence_members, T.expanded_sets(base.unionByName(news)), 1)
+    return views.sequence_delta(T.expanded_sets(base.unionByName(news)), 1)
 
 
 @registered("SELECT CAST(p_partkey AS VARCHAR) AS e, 'word' AS a, unnest(string_split(p_name, ' ')) AS v FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'p_brand', p_brand FROM part")

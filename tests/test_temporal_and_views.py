@@ -325,3 +325,23 @@ def test_changes_of_many_transactions_are_those_of_each(spark, seed):
     net = views.changes_after(view, datoms, 2, by_entity=False)
     before, after = ({tuple(r) for r in view(T.propositions(datoms, t)).collect()} for t in (2, None))
     assert {(*r[:3], r.op) for r in net.collect()} == {(*r, "add") for r in after - before} | {(*r, "remove") for r in before - after}
+
+
+def test_full_text_delta_is_the_delta_of_the_view(spark):
+    rng = random.Random(3)
+    words = [f"w{k}" for k in range(12)]
+    text = lambda: " ".join(rng.sample(words, 3))
+    statements = [(t, rng.choice(["add", "add", "remove", "set"]), f"e{rng.randint(0, 3)}", "a", text()) for t in (0, 1, 2) for _ in range(30)]
+    statements += [(0, "add", "many", "a", text()) for _ in range(20)] + [(2, "add", "many", "a", "w1 new"), (2, "add", "null", "a", None)]
+    datoms = T.expanded_sets(log_of(spark, statements)).cache()
+    for t in (0, 1, 2):
+        found = views.full_text_delta(datoms, t)
+        assert rows(found, "a", "token", "e", "op") == rows(views.delta(views.full_text, datoms, t), "a", "token", "e", "op")
+
+
+def test_full_text_delta_deals_out_texts_and_no_tokens(spark, tmp_path):
+    from chronofact.plans.queries import QUERIES
+
+    spark.createDataFrame([(0, "a b"), (1, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = QUERIES["full_text_delta_whole"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 10

@@ -31,21 +31,25 @@ def tokens(text: Column) -> Column:
 
 def full_text(state: DataFrame, text: str = "v") -> DataFrame:
     """(a, token, e)"""
-    return _tokens(state, tokens(F.col(text)))
+    return _exploded(state, tokens, "token", text).select("a", "token", "e")
 
 
 def full_text_search(state: DataFrame, test: Callable[[Column], Column], text: str = "v") -> DataFrame:
     """full_text()'s rows whose token meets the test; other tokens are left out before they are exploded."""
-    return _tokens(state, F.array_distinct(F.filter(tokenize(F.col(text)), test)))
-
-
-def _tokens(state: DataFrame, tokens: Column) -> DataFrame:
-    return state.select("a", F.explode(tokens).alias("token"), "e").distinct()
+    found = F.array_distinct(F.filter(tokenize(F.col(text)), test))
+    return state.select("a", F.explode(found).alias("token"), "e").distinct()
 
 
 def sequence_members(state: DataFrame, sequence: str = "v") -> DataFrame:
     """(element, a, e) for array values."""
-    return state.select(F.explode(F.array_distinct(F.col(sequence))).alias("element"), "a", "e").distinct()
+    return _exploded(state, F.array_distinct, "element", sequence).select("element", "a", "e")
+
+
+def _exploded(state: DataFrame, elements: Callable[[Column], Column], name: str, value: str) -> DataFrame:
+    """(e, a, name): distinct elements. Only those of an attribute with several values are compared with each other."""
+    rows = state.select("e", "a", value).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("e", "a")))
+    alone, several = (rows.filter(c).select("e", "a", F.explode(elements(F.col(value))).alias(name)) for c in ("_n = 1", "_n > 1"))
+    return alone.unionByName(several.distinct())
 
 
 def full_text_delta(datoms: DataFrame, t: int) -> DataFrame:

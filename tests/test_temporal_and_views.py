@@ -345,3 +345,11 @@ def test_full_text_delta_deals_out_texts_and_no_tokens(spark, tmp_path):
     spark.createDataFrame([(0, "a b"), (1, "b c")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = QUERIES["full_text_delta_whole"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 10
+
+
+def test_tokens_of_an_only_value_are_not_dealt_out(spark):
+    state = spark.createDataFrame([("1", "text", "a b a"), ("2", "text", "c"), ("2", "text", "c d"), (None, "text", "x"), (None, "text", "x y"), ("3", "text", None)], "e string, a string, v string")
+    out = views.full_text(state)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Union") < plan.index("Generate") < plan.index("Exchange")
+    assert sorted((r["token"], str(r["e"])) for r in out.collect()) == [("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("x", "None"), ("y", "None")]

@@ -30,7 +30,9 @@ def shredded(df: DataFrame, id_col: str, op: str = "add") -> DataFrame:
     """
     record = F.struct(*[F.col(f"`{c}`") for c in df.columns])
     rows = df.select(F.explode(_triples(record, df.schema, F.col(f"`{id_col}`").cast("string"), id_col)).alias("p"))
-    return rows.select(F.lit(op).alias("op"), "p.e", "p.a", "p.v").distinct()
+    # dealt out before they are compared: few triples repeat, so comparing them where they are made would only hold them all
+    dealt = rows.select("p.e", "p.a", "p.v").repartition("e", "a", "v")
+    return dealt.distinct().select(F.lit(op).alias("op"), "e", "a", "v")
 
 
 def _triples(record: Column, schema: T.StructType, own: Column, id_col: str) -> Column:

@@ -353,3 +353,14 @@ def test_tokens_of_an_only_value_are_not_dealt_out(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Union") < plan.index("Generate") < plan.index("Exchange")
     assert sorted((r["token"], str(r["e"])) for r in out.collect()) == [("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("x", "None"), ("y", "None")]
+
+
+def test_triples_are_dealt_out_before_they_are_compared(spark):
+    from chronofact.operators import shred
+
+    rows_ = [("1", "s", [("1/a", 5), ("1/b", 6)]), ("1", "s", [("1/a", 5)]), ("2", None, None)]
+    out = shred.shredded(spark.createDataFrame(rows_, "id string, status string, lines array<struct<id:string,part:int>>"), "id")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    made = plan.index("Generate")
+    assert "HashAggregate" not in plan[plan.index("Exchange hashpartitioning(e") : made]
+    assert rows(out, "e", "a", "v") == [("1", "lines", "1/a"), ("1", "lines", "1/b"), ("1", "status", "s"), ("1/a", "part", "5"), ("1/b", "part", "6")]

@@ -148,7 +148,7 @@ def nations(spark, folder, customers, suppliers):
     for name, n, c in (("customer", customers, "c"), ("supplier", suppliers, "s")):
         key = {"customer": "c_custkey", "supplier": "s_suppkey"}[name]
         nation = F.when(F.col("id") == 0, 8 if c == "c" else 9).when(F.col("id") > 1, 7).cast("int")
-        spark.range(n + 2).select(F.col("id").alias(key), nation.alias(f"{c}_nationkey")).write.parquet(f"{folder}/{name}.parquet")
+        spark.range(n + 2).select(F.col("id").alias(key), nation.alias(f"{c}_nationkey")).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
 
 
 def largest_share(df):
